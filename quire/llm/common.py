@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one of our own only where that is unset (one machine)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # workers import this package, from wherever the driver runs
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
@@ -42,6 +45,7 @@ def release(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -60,6 +64,43 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
+class WordHashes(dict):
+    """XXH64 of each word, with a memory of the first `words` short ones that were met."""
+
+    def __init__(self, words: int = 1_000_000, seed: int = 42):
+        from xxhash import xxh64_intdigest
+
+        super().__init__()
+        self.words, self.seed, self.digest = words, seed, xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        value = self.digest(word, self.seed)
+        if len(self) < self.words and len(word) <= 48:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers after which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of `width` word hashes: a sum with an odd multiplier for each place, mixed."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(width):
+        out += words[j : j + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ^ j << 7) & (1 << 64) - 1 | 1)
+    return mixed(out)
+
+
 def min_labels(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected (a, b) long pairs: rows (node, root) with root the smallest node of the component.
 

@@ -38,42 +38,36 @@ def shares(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1),
     return targets
 
 
-def _newton(cells: DataFrame, totals: dict[str, tuple[int, int, float]], tolerance: float = 1e-7, rounds: int = 60) -> dict[str, tuple[float, float]]:
-    """The dual of each source: (l0, l1) such that rates min(CAP, exp(l0 + l1 size / mean)) take its target of tokens and as many
-    documents in proportion. Each round sums the gradient and Hessian over the cells, which stay distributed; the driver holds
-    five numbers for each source, the dimension of the dual."""
+def _newton(cells: DataFrame, totals: dict[str, tuple[int, int, float]], tolerance: float = 1e-7, rounds: int = 80) -> dict[str, float]:
+    """The dual of each source: the tilt l such that rates min(CAP, exp(l size / mean)) take its target of tokens.
+
+    Each round sums the gradient and Hessian over the cells, which stay distributed; the driver holds a tilt and its bracket for
+    each source, the dimension of the dual. The gradient grows with l, so a Newton step that leaves the bracket is halved instead.
+    """
     spark = cells.sparkSession
-    dual: dict[str, tuple[float, float]] = {}
-    for key, (n, size, target) in totals.items():
-        if size and target < CAP * size * (1 - 1e-12) and target > 0:
-            dual[key] = (0.0, 0.0)
-    done = {k: ((math.log(CAP), 0.0) if t > 0 else (-math.inf, 0.0)) if s else (0.0, 0.0) for k, (_, s, t) in totals.items() if k not in dual}
-    at = dict(dual)
+    dual = {k: math.inf if t > 0 else -math.inf for k, (_, s, t) in totals.items()}
+    at = {k: math.log(t / s) for k, (_, s, t) in totals.items() if s and 0 < t < CAP * s * (1 - 1e-9)}
+    bracket = dict.fromkeys(at, (-math.inf, math.inf))
     for _ in range(rounds):
         if not at:
             break
-        now = spark.createDataFrame([(k, a, b, totals[k][1] / totals[k][0]) for k, (a, b) in at.items()], "source_key string, l0 double, l1 double, mean double")
-        z, raw = F.col("size") / F.col("mean"), F.exp(F.col("l0") + F.col("l1") * F.col("size") / F.col("mean"))
-        rate = F.col("n") * F.least(raw, F.lit(float(CAP)))
-        slope = F.when(raw < CAP, F.col("n") * raw).otherwise(0.0)
-        sums = cells.join(F.broadcast(now), "source_key").groupBy("source_key")
-        for r in sums.agg(F.sum(rate).alias("g0"), F.sum(rate * z).alias("g1"), F.sum(slope).alias("h00"), F.sum(slope * z).alias("h01"), F.sum(slope * z * z).alias("h11")).collect():
+        now = spark.createDataFrame([(k, l, totals[k][1] / totals[k][0]) for k, l in at.items()], "source_key string, tilt double, mean double")
+        z = F.col("size") / F.col("mean")
+        raw = F.exp(F.col("tilt") * z)
+        taken = F.col("n") * z * F.least(raw, F.lit(float(CAP)))
+        slope = F.when(raw < CAP, F.col("n") * z * z * raw).otherwise(0.0)
+        for r in cells.join(F.broadcast(now), "source_key").groupBy("source_key").agg(F.sum(taken).alias("g"), F.sum(slope).alias("h")).collect():
             n, size, target = totals[r.source_key]
-            want = n * target / size  # in documents, and in mean sizes: the same number
-            g0, g1 = want - r.g0, want - r.g1
-            if max(abs(g0), abs(g1)) <= tolerance * max(want, 1e-9):
+            l, (low, high), off = at[r.source_key], bracket[r.source_key], n * target / size - r.g  # in mean sizes
+            if abs(off) <= tolerance * n * target / size:
                 dual[r.source_key] = at.pop(r.source_key)
                 continue
-            h00, h01, h11 = r.h00 + 1e-9 * n, r.h01, r.h11 + 1e-9 * n
-            det = h00 * h11 - h01 * h01
-            if det > 1e-9 * h00 * h11:
-                d0, d1 = (g0 * h11 - g1 * h01) / det, (g1 * h00 - g0 * h01) / det
-            else:  # one size only: the two constraints are one
-                d0, d1 = g1 / h01 if h01 else 0.0, 0.0
-            damp = min(1.0, 2 / max(abs(d0), abs(d1), 1e-300))
-            a, b = at[r.source_key]
-            at[r.source_key] = (a + damp * d0, b + damp * d1)
-    return done | dual | at
+            low, high = (l, high) if off > 0 else (low, l)
+            step = l + off / r.h if r.h else math.nan
+            if not low < step < high:
+                step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else 2 * l + 1 if off > 0 else 2 * l - 1
+            at[r.source_key], bracket[r.source_key] = step, (low, high)
+    return dual | at
 
 
 def _round(cells: pd.DataFrame) -> pd.DataFrame:
@@ -92,13 +86,13 @@ def _round(cells: pd.DataFrame) -> pd.DataFrame:
 def mix(sized: DataFrame, targets: dict[str | None, float], bucket: int = 20_000) -> DataFrame:
     """Whole copies (0, 1 or 2) of each row of sized(doc_id, source, size) such that each source takes its target of tokens.
 
-    Rates minimise the entropy to the corpus under two constraints for each source, tokens and documents, both scaled by the same
-    factor; the convex dual is solved by Newton steps over the (source, size) histogram. Copies are dealt to cells of that
-    histogram first; within a cell, the rows lowest by a hash of doc_id take one more. Rows of a hot cell are ranked in buckets of
-    about `bucket` rows, by counts of the buckets before.
+    Rates minimise the relative entropy to the corpus (a rate of 1) under the token constraint of each source and the cap: they are
+    exponentially tilted by size, so a source that must shrink gives up long documents first. The convex dual is solved by Newton
+    steps over the (source, size) histogram. Copies are dealt to cells of that histogram first; within a cell, the rows lowest by a
+    hash of doc_id take one more. Rows of a hot cell are ranked in buckets of about `bucket` rows, by counts of the buckets before.
 
     Returns doc_id, source, size, copies. Equal rows may be told apart at random, which changes no total; null sources are one
-    source; documents of size 0 follow their source's rate of one, and take nothing.
+    source; documents of size 0 take nothing.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     rows = sized.select("doc_id", "source", "size", key.alias("source_key"))
@@ -107,8 +101,8 @@ def mix(sized: DataFrame, targets: dict[str | None, float], bucket: int = 20_000
     goal = {"null" if s is None else f"s{s}": t for s, t in targets.items()}
     dual = _newton(cells, {k: (n, s, goal.get(k, 0.0)) for k, (n, s) in totals.items()})
     spark = sized.sparkSession
-    table = spark.createDataFrame([(k, a, b, max(totals[k][1] / totals[k][0], 1e-9)) for k, (a, b) in dual.items()], "source_key string, l0 double, l1 double, mean double")
-    rated = cells.join(F.broadcast(table), "source_key").select("source_key", "size", "n", F.least(F.lit(float(CAP)), F.exp(F.col("l0") + F.col("l1") * F.col("size") / F.col("mean"))).alias("rate"))
+    table = spark.createDataFrame([(k, max(-1e300, min(1e300, l)), max(totals[k][1] / totals[k][0], 1e-9)) for k, l in dual.items()], "source_key string, tilt double, mean double")
+    rated = cells.join(F.broadcast(table), "source_key").select("source_key", "size", "n", F.least(F.lit(float(CAP)), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))).alias("rate"))
     dealt = common.save(rated.groupBy("source_key").applyInPandas(_round, "source_key string, size long, n long, copies long"), "mix-copies")
     each = rows.join(dealt, ["source_key", "size"]).select("doc_id", "source", "source_key", "size", "n", F.floor(F.col("copies") / F.col("n")).alias("all"), (F.col("copies") % F.col("n")).alias("extra"))
     even = each.where("extra = 0").select("doc_id", "source", "size", F.col("all").alias("copies"))
