@@ -306,6 +306,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, radius: int
     return prints.join(labels, key).select("doc_id", "size", *f, "component_id")
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the smallest doc_id; all columns. A null doc_id stays."""
+    found = near_duplicates(docs)
+    return common.without(docs, found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct())
+
+
 def _batch(df: DataFrame, words: int) -> pa.RecordBatch:
     table = df.toArrow().combine_chunks()
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
