@@ -1,0 +1,12 @@
+"""Document-structure analytics on PySpark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from wherever the driver runs; a path that is set already stays."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
