@@ -53,7 +53,7 @@ class WordTokenizer:
         if len(self.known) > self.words:
             self.known = dict(list(self.known.items())[: self.words // 2])
         known = self.known
-        new = set().union(*split) - known.keys()
+        new = set().union(*split).difference(known)  # looks up the batch's words; a subtraction would walk all that is known
         marked, plain = [], set()
         for word in new:
             stem = word.rstrip(MARKS)
