@@ -1,4 +1,4 @@
-"""Operator 2, SimHash near-dedup: exact pairs within a Hamming radius by vantage-point trees, and their components."""
+"""Operator 2, SimHash near-dedup: exact pairs within a Hamming radius by vantage-point trees, and their components. The pipeline's stage: exact pairs of shingle sets."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common
@@ -285,8 +285,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, radius: int
     forests' components are found by distributed steps. A shard that holds a dense ball of k points compares k * k of them, in
     blocks of bounded memory.
 
-    The defaults take pairs of 0.8 Jaccard similarity: their shingle sets have a cosine of 0.889, hence 15 % of bits differ
-    (39 of 256, deviation 6). Null texts are empty, and texts without words are all linked. A null doc_id links nothing and gets
+    A radius decides on bits, not on similarity: at 0.8 Jaccard similarity, shingle sets have a cosine of 0.889, hence 15 % of bits
+    differ (39 of 256, deviation 6, more for short texts), so the defaults miss some such pairs and take some below.
+
+    Null texts are empty, and texts without words are all linked. A null doc_id links nothing and gets
     its group's component; repeated rows are answered alike; an empty table gives no rows; other columns are not read.
     """
     spark, f = docs.sparkSession, names(words)
@@ -306,10 +308,89 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, radius: int
     return prints.join(labels, key).select("doc_id", "size", *f, "component_id")
 
 
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of about SAMPLE / 8 documents have, from rare to common, at most 2 * SAMPLE of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches):
+            for text in common.text_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(hashes(text, width), np.uint64)).view(np.int64))], ["item"])
+
+    every = max(1, docs.count() // (SAMPLE // 8))
+    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n"))
+    most = counts.where("n > 1").orderBy(F.desc("n"), "item").limit(2 * SAMPLE).select("item").toArrow()
+    return most.column("item").to_numpy()[::-1].copy()
+
+
+def shingle_sets(docs: DataFrame, width: int, last: np.ndarray) -> DataFrame:
+    """doc_id, pid (a hash of the set) and items, the different shingles of docs(doc_id, text): those of `last` last and in its order, the others by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        place = np.argsort(last)
+        known = last[place]
+        for batch in common.small_batches(batches):
+            sets, pids = [], []
+            for text in common.text_bytes(batch.column("text")):
+                x = np.unique(np.array(hashes(text, width), np.uint64)).view(np.int64)
+                pids.append(xxh64_intdigest(x.tobytes(), 42))
+                if len(known) and len(x):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    x = x[np.lexsort((x, np.where(known[at] == x, place[at] + 1, 0)))]
+                sets.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(pids, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "pid", "items"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pid long, items array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) of pids whose sets have a Jaccard similarity of 0.8 or more, exactly: 9 * shared >= 4 * (sum of sizes)."""
+    pairs = common.save(pairs, "near-pairs")
+    asked = common.save(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct(), "near-asked")
+    held = common.save(sets.join(common.bounded(asked), "pid", "left_semi").dropDuplicates(["pid"]), "near-sets")
+    left, right = (held.select(F.col("pid").alias(x), F.col("items").alias(f"{x}s")) for x in "ab")
+    close = 9 * F.size(F.array_intersect("as", "bs")) >= 4 * (F.size("as") + F.size("bs"))
+    return common.save(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "near-links")
+
+
+def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(node, root) of docs(doc_id, text): each doc_id that links of 0.8 Jaccard similarity or more over its shingles reach, and the smallest such.
+
+    No pair is missed and none is taken below 0.8, but for clashes of 64-bit hashes. Sets of n shingles in one order can only be that
+    similar if they share one of their first n - ceil(0.8 n) + 1, so only these are grouped; the order puts shingles that a sample
+    finds common last, which keeps groups small and changes no result. A first round compares neighbours by size in each group, a second one all pairs of a group that
+    the sizes and places leave open and the first round did not unite; so a large group of near copies makes few pairs.
+
+    Equal sets are one point; texts without words are equal. Rows of one doc_id are one document; those without one are left out.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    sets = common.save(shingle_sets(rows, width, common_shingles(rows, width)), "near-shingles")
+    n = F.size("items")
+    heads = sets.select("pid", n.alias("n"), F.posexplode(F.slice("items", 1, n - F.ceil(n * 4 / 5).cast("int") + 1)).alias("at", "item")).where("n > 0")
+    group = Window.partitionBy("item")
+    heads = heads.withColumn("next", F.lead("pid").over(group.orderBy("n", "pid"))).withColumn("next_n", F.lead("n").over(group.orderBy("n", "pid")))
+    heads = heads.withColumn("several", F.min("pid").over(group) != F.max("pid").over(group))
+    heads = common.save(heads.where("several").drop("several"), "near-heads")
+    close = heads.where("pid <> next AND 5 * n >= 4 * next_n")
+    first = _similar(close.select(F.least("pid", "next").alias("a"), F.greatest("pid", "next").alias("b")).distinct(), sets)
+    roots = common.save(common.min_labels(first, "near-first"), "near-roots").select(F.col("node").alias("pid"), "root")
+    open_ = heads.select("item", "pid", "n", "at").join(common.bounded(roots), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+    open_ = common.save(open_.withColumn("several", F.min("root").over(group) != F.max("root").over(group)).where("several"), "near-open")
+    other = open_.select("item", *[F.col(x).alias(f"{x}_") for x in ("pid", "n", "at", "root")])
+    # of the shingles from this one on, at least 0.8 of the union must be shared: holds at the first shared one of a similar pair
+    able = "pid < pid_ AND root <> root_ AND 5 * least(n, n_) >= 4 * greatest(n, n_) AND 9 * least(n - at, n_ - at_) >= 4 * (n + n_)"
+    second = _similar(open_.join(other, "item").where(able).select(F.col("pid").alias("a"), F.col("pid_").alias("b")).distinct(), sets)
+    points = common.save(sets.groupBy("pid").agg(F.min("doc_id").alias("point")), "near-points")
+    left, right = (points.select(F.col("pid").alias(x), F.col("point").alias(f"{x}_")) for x in "ab")
+    links = first.union(second).join(left, "a").join(right, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    equal = sets.select("doc_id", "pid").join(points, "pid").where("doc_id <> point").select(F.col("doc_id").alias("a"), F.col("point").alias("b"))
+    return common.min_labels(links.union(equal), "near-labels")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest doc_id; all columns. A null doc_id stays."""
-    found = near_duplicates(docs)
-    return common.without(docs, found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct())
+    """docs with one document of each group of similar ones, that of the smallest doc_id; all columns. A null doc_id stays."""
+    return common.without(docs, similar_documents(docs).where("node <> root").select(F.col("node").alias("doc_id")).distinct())
 
 
 def _batch(df: DataFrame, words: int) -> pa.RecordBatch:

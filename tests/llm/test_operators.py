@@ -140,6 +140,42 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain):
+    rng = np.random.default_rng(7)
+    texts = [(i, t) for i, t in plain]
+    at = 1 + max(i for i, _ in texts)
+    for n in [8, 9, 12, 23, 60, 150, 265] * 12:  # copies with words put in or cut off, on both sides of the threshold
+        base = [f"w{x}" for x in rng.integers(0, 9000, n)]
+        cut = int(rng.integers(0, max(2, n // 4)))
+        other = list(base[cut // 2 : n - cut + cut // 2])
+        if n > 20 and rng.random() < 0.5:
+            other[len(other) // 2] = "other"
+        texts += [(at, " ".join(base)), (at + 1, " ".join(other))]
+        at += 2
+    texts += [(at + i, " ".join(f"g{x}" for x in range(3 * i, 3 * i + 90))) for i in range(20)]  # a chain
+    odd_texts = [(i, t) for i, t in ODD] + [(i, t) for i, t in ODD[:3]]
+
+    def sets(text):
+        w = words((text or "").encode().lower().decode() if (text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in text))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    for df, have in ((spark.createDataFrame(texts, "doc_id long, text string"), texts), (odd, odd_texts)):
+        of = [(i, sets(t)) for i, t in have]
+        parent = {i: i for i, _ in of}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for k, (a, x) in enumerate(of):
+            for b, y in of[:k]:
+                if x == y or (x and y and 5 * len(x & y) >= 4 * len(x | y)):
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+        assert sorted(r.doc_id for r in simhash.deduplicate(df.where("doc_id IS NOT NULL")).collect()) == sorted(i for i, _ in of if find(i) == i)
+    assert simhash.deduplicate(odd).where("doc_id IS NULL").count() == 2
+
+
 def test_rans(spark, docs, odd, plain, ids, tmp_path):
     tokens_ = [[*x, 1] for x in ids([t for _, t in plain])]
     path = tokens.vocabulary_path()
