@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quire import importable
 from quire.functions import similarity, text
 
-#: Levels of a tree that are read; deeper nodes are dropped.
+#: Levels of a tree that are planned unseen; each deeper one is asked for first, which runs a job.
 DEPTH = 4
 
 
@@ -18,14 +19,16 @@ def flatten(trees: DataFrame, rule: str = "levels", strings: bool = True) -> Dat
     """Titles of trees(doc_id, tree), tree a JSON array of strings and {title, subtitles} objects.
 
     rule "levels": top is 1; a child of a level-2 title is 3; an object that has subtitles is 2, unless under a level above 1; any
-    other child goes from 1 to 3 as a string and 2 as an object, then 2 to 3 and 3 to 4. rule "depth": the depth is the level.
+    other child goes from 1 to 3 as a string and 2 as an object, then 2 to 3, 3 to 4, and stays 4 below. rule "depth": the depth is the level.
     Without `strings` only objects count. An empty title is skipped with all below it. Returns doc_id, ord, title, level, top_idx,
     parent; a tree that doesn't parse gives no rows.
     """
     rows = trees.select("doc_id", F.try_parse_json("tree").alias("node"))
     rows = rows.select("doc_id", F.expr("cast(null as string)").alias("parent"), F.lit(0).alias("above"), F.array().cast("array<int>").alias("path"), "node")
     found = None
-    for depth in range(1, DEPTH + 1):
+    for depth in itertools.count(1):
+        if depth > DEPTH and rows.isEmpty():
+            break
         rows.createOrReplaceTempView("__quire_nodes")
         rows = rows.sparkSession.sql("SELECT n.doc_id, n.parent, n.above, array_append(n.path, e.pos) AS path, e.value AS node FROM __quire_nodes n, LATERAL variant_explode(n.node) AS e")
         is_object = F.schema_of_variant("node").startswith("OBJECT")
@@ -36,7 +39,7 @@ def flatten(trees: DataFrame, rule: str = "levels", strings: bool = True) -> Dat
         elif depth == 1:
             level = F.lit(1)
         else:
-            level = F.when(F.col("above") == 2, 3).when(is_object & below.isNotNull() & (F.col("above") == 1), 2).when(~is_object & (F.col("above") == 1), 3).when(F.col("above") == 1, 2).when(is_object & below.isNotNull(), 2).otherwise(F.col("above") + 1)
+            level = F.when(F.col("above") == 2, 3).when(is_object & below.isNotNull() & (F.col("above") == 1), 2).when(~is_object & (F.col("above") == 1), 3).when(F.col("above") == 1, 2).when(is_object & below.isNotNull(), 2).otherwise(F.least(F.col("above") + 1, F.lit(4)))
         rows = rows.select("doc_id", "parent", "path", is_object.alias("is_object"), text.strip(title).alias("title"), level.alias("level"), below.alias("below")).where("title <> ''" + ("" if strings else " AND is_object"))
         part = rows.select("doc_id", "path", "title", "level", "parent")
         found = part if found is None else found.unionByName(part)

@@ -192,3 +192,19 @@ def test_reports(spark):
     assert tuple(reports.batch_summary(log).first()) == (2, 1, 1, 0.5) and tuple(reports.batch_summary(log.limit(0)).first()) == (0, 0, 0, 0.0)
     assert reports.statistics(log).first().success_rate == 0.5 and reports.succeeded(log, log.where("NOT success")).count() == 1
     assert tuple(reports.url_counts(spark.createDataFrame([("a", None), ("b", "b")], "u string, fixed string")).first()) == (2, 1)
+
+
+def test_titles_of_any_depth(spark):
+    tree = "deepest"
+    for k in range(7, 0, -1):
+        tree = {"title": f"t{k}", "subtitles": [tree, {"title": f"o{k}"}]}
+    df = spark.createDataFrame([(1, json.dumps([tree])), (2, json.dumps(["flat"]))], "doc_id int, tree string")
+    names = [f"t{k}" for k in range(1, 8)]
+    last = [f"o{k}" for k in range(7, 0, -1)]
+    by_depth = [(r.title, r.level) for r in titles.flatten(df, "depth").where("doc_id = 1").orderBy("ord").collect()]
+    assert by_depth == [*zip(names, range(1, 8)), ("deepest", 8), *zip(last, range(8, 1, -1))]
+    chain = {"title": "e"}
+    for x in "dcba":  # an object with subtitles under level 3 is 2 again
+        chain = {"title": x, "subtitles": [chain, f"s{x}"]}
+    levels = {r.title: r.level for r in titles.flatten(spark.createDataFrame([(1, json.dumps([chain]))], "doc_id int, tree string")).collect()}
+    assert levels == {"a": 1, "sa": 3, "b": 2, "sb": 3, "c": 3, "sc": 4, "d": 2, "sd": 3, "e": 3}
