@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -64,10 +66,29 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of mapInArrow that, when its task ends, gives the memory of its batches and tables back: workers are used again by later stages."""
+
+    def leanly(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return leanly
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
-    """XXH64 of each word, with a memory of the first `words` short ones that were met."""
+    """XXH64 of each word, with a memory of the first `words` short ones that were met (under 25 MB)."""
 
-    def __init__(self, words: int = 1_000_000, seed: int = 42):
+    def __init__(self, words: int = 150_000, seed: int = 42):
         from xxhash import xxh64_intdigest
 
         super().__init__()
@@ -90,14 +111,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(words: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all runs of `width` word hashes: a sum with an odd multiplier for each place, mixed."""
+def runs(words: np.ndarray, width: int, salt: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """64-bit hashes of all runs of `width` word hashes: a sum with an odd multiplier for each place, which `salt` gives, mixed."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(width):
-        out += words[j : j + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ^ j << 7) & (1 << 64) - 1 | 1)
+        out += words[j : j + n] * np.uint64((salt * (2 * j + 1) ^ j << 7) & (1 << 64) - 1 | 1)
     return mixed(out)
 
 
@@ -135,6 +156,28 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Groups of rows that may be sent to all tasks, however many rows there are: a few longs or a hash each, 16 MB at most.
+HOT_GROUPS = 100_000
+
+
+def looked_up(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with the columns of groups (a row for each group of rows by `keys`, `size` the number of its rows), null where there is none.
+
+    Of N rows in groups, at most HOT_GROUPS groups have N / HOT_GROUPS rows or more, so the large groups are sent and their rows
+    stay where they are; what is left is joined by a shuffle in which no key has more rows than that. Rows with a null key go past both.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(1, -(-total // HOT_GROUPS))
+    found = rows.join(F.broadcast(groups.where(hot)), keys, "left")
+    if groups.where(~hot).isEmpty():
+        return found
+    alone = F.col(size).isNull()
+    for key in keys:
+        alone &= F.col(key).isNotNull()
+    rest = found.where(alone).select(rows.columns).join(groups.where(~hot), keys, "left").select(found.columns)
+    return found.where(~alone).unionByName(rest)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids(doc_id), all columns; rows with a null doc_id stay."""
     return docs.join(bounded(save(ids.select("doc_id"), "dropped")), "doc_id", "left_anti").select(docs.columns)
