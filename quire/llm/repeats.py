@@ -7,8 +7,12 @@ starts in a document with a smaller doc_id is a match, and matches that overlap
 
 Documents are dealt to groups of about GROUP bytes by a hash of doc_id. A group speaks for its documents: it sends each different
 anchor, then each different window, once, with the smallest doc_id it has there, to the bucket of its hash; the bucket answers with
-a bit. So a passage that a third of all documents share reaches its bucket once for each group, and no pairs are made. A group's
-memory follows GROUP (and its longest document), a bucket's follows BUCKET.
+a bit. So a passage that a third of all documents share reaches its bucket once for each group, and no pairs are made. A group writes
+only to buckets it has keys for, so what is sent follows the keys, however many groups and buckets there are. A group's memory
+follows GROUP (and its longest document), a bucket's follows BUCKET.
+
+Two windows are taken for equal if 128 bits agree: two independent sums over their words' 64-bit hashes. That is an identity for any
+corpus (the chance that 10**13 different windows hold such a pair is about 10**-13); a test makes the first 64 bits clash.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from quire.llm import common
 
 #: Words of a window and of an anchor; bytes of text dealt to a group and to a bucket.
 LENGTH, ANCHOR, GROUP, BUCKET = 13, 5, 4 << 20, 16 << 20
+#: Groups and buckets that a task handles in turn, and what the second half of a window's hash multiplies by.
+TURNS, SECOND = 8, 0xD6E8FEB86659FD93
 SENT = "bucket long, g long, keys binary, least binary, base long"
 ANSWER = "g long, step int, bucket long, bits binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<first:long,words:long>>"
@@ -56,22 +62,29 @@ class Group:
         self.doc = np.array([i or 0 for i in self.ids], np.int64)[doc] if n else np.zeros(0, np.int64)
         self.flat = flat
 
-    def windows(self, some: np.ndarray) -> np.ndarray:
-        return common.runs(self.flat, self.length)[self.at[some]]
+    def windows(self, some: np.ndarray, bits: int) -> np.ndarray:
+        """128 bits of each window, as two rows; `bits` of the first are used (fewer in tests)."""
+        cut = np.uint64((1 << bits) - 1)
+        return np.stack([common.runs(self.flat, self.length)[self.at[some]] & cut, common.runs(self.flat, self.length, SECOND)[self.at[some]]])
 
 
 def _least(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys ascending, the smallest and largest doc of each, and the place of each row's key among them."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    place = np.empty(len(keys), np.int64)
+    """Different keys ascending, the smallest and largest doc of each, and the place of each row's key among them. Keys have one or two rows."""
+    two = keys if keys.ndim == 2 else keys[None]
+    order = np.argsort(two[0], kind="stable")
+    if len(two) > 1 and len(order):
+        sorted_ = two[:, order]
+        if ((sorted_[0, 1:] == sorted_[0, :-1]) & (sorted_[1, 1:] != sorted_[1, :-1])).any():
+            order = np.lexsort(two[::-1])
+    two = two[:, order]
+    first = np.concatenate([[True], (two[:, 1:] != two[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
+    place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(first) - 1
     begin = np.flatnonzero(first)
-    doc = doc[order]
+    doc, keys = doc[order], two[:, begin] if keys.ndim == 2 else two[0, begin]
     if not len(begin):
         return keys, doc, doc, place
-    return keys[begin], np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin), place
+    return keys, np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin), place
 
 
 def _seeds(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,11 +93,29 @@ def _seeds(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, low < high, place
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of bucket, keys ascending in each, and where each bucket begins."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+class Dealt:
+    """Positions of keys by bucket, keys ascending in each; only buckets that have keys are kept: their numbers and where each begins."""
+
+    def __init__(self, keys: np.ndarray, buckets: int):
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket, begin = np.unique(bucket[self.order], return_index=True)
+        self.begin = np.append(begin, len(keys))
+
+    def __iter__(self):
+        for i, b in enumerate(self.bucket.tolist()):
+            yield b, self.order[self.begin[i] : self.begin[i + 1]]
+
+    def bits(self, answers: pa.Table, step: int) -> np.ndarray:
+        """The answers to one step, put back in order of the keys."""
+        out = np.zeros(len(self.order), bool)
+        own = np.flatnonzero(answers.column("step").to_numpy() == step)
+        if len(own):
+            at = np.searchsorted(self.bucket, answers.column("bucket").to_numpy()[own])
+            for i, bits in zip(at.tolist(), answers.column("bits").take(pa.array(own)).to_pylist(), strict=True):
+                some = self.order[self.begin[i] : self.begin[i + 1]]
+                out[some] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(some)).astype(bool)
+        return out
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
@@ -94,31 +125,18 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def _bits(answers: pa.Table, step: int, begin: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The answers to one step, put back in order of the keys."""
-    out = np.zeros(len(order), bool)
-    for s, bucket, bits in zip(answers.column("step").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        if s == step:
-            some = order[begin[bucket] : begin[bucket + 1]]
-            out[some] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(some)).astype(bool)
-    return out
-
-
-def _extend(group: Group, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around seeds (positions in group.at) and their hashes."""
+def _extend(group: Group, answers: pa.Table, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows around seeds (positions in group.at), at every offset of the seed in a window, and their hashes."""
     keys, _, place = _seeds(group)
-    order, begin = _by_bucket(keys, buckets)
-    some = np.flatnonzero(_bits(answers, 1, begin, order)[place]) if len(keys) else np.zeros(0, np.int64)
-    return some, group.windows(some) if len(some) else np.zeros(0, np.uint64)
+    some = np.flatnonzero(Dealt(keys, buckets).bits(answers, 1)[place]) if len(keys) else np.zeros(0, np.int64)
+    return some, group.windows(some, bits)
 
 
 def _send_anchors(buckets: int, length: int, anchor: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, again, _ = _seeds(Group(table, length, anchor))
-        order, begin = _by_bucket(keys, buckets)
         high = (keys >> np.uint64(32)).astype("<u4")  # with the bucket: a seed taken for another's only costs its windows' extension
-        rows = [(b, key[0].as_py(), high[part].tobytes(), np.packbits(again[part]).tobytes(), 0) for b in range(buckets) if len(part := order[begin[b] : begin[b + 1]])]
-        return _rows(rows, SENT)
+        return _rows([(b, key[0].as_py(), high[part].tobytes(), np.packbits(again[part]).tobytes(), 0) for b, part in Dealt(keys, buckets)], SENT)
 
     return run
 
@@ -133,40 +151,37 @@ def _answer_anchors(key: tuple, table: pa.Table) -> pa.Table:
     return _rows([(g, 1, key[0].as_py(), np.packbits(shared[e - len(k) : e]).tobytes()) for g, e, k in zip(table.column("g").to_pylist(), ends.tolist(), sent, strict=True)], ANSWER)
 
 
-def _send_windows(buckets: int, length: int, anchor: int) -> Callable:
+def _send_windows(buckets: int, length: int, anchor: int, bits: int) -> Callable:
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows([], SENT)
         group = Group(docs, length, anchor)
-        some, hashes = _extend(group, answers, buckets)
+        some, hashes = _extend(group, answers, buckets, bits)
         keys, low, _, _ = _least(hashes, group.doc[some])
-        order, begin = _by_bucket(keys, buckets)
         base = int(low.min()) if len(low) else 0
         kind = "<u4" if not len(low) or int(low.max()) - base < 1 << 32 else "<u8"
         least = (low - base).astype(kind)
-        rows = [(b, key[0].as_py(), keys[part].astype("<u8").tobytes(), least[part].tobytes(), base) for b in range(buckets) if len(part := order[begin[b] : begin[b + 1]])]
-        return _rows(rows, SENT)
+        return _rows([(b, key[0].as_py(), keys[:, part].astype("<u8").tobytes(), least[part].tobytes(), base) for b, part in Dealt(keys[0], buckets)], SENT)
 
     return run
 
 
 def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
     """Which windows start in a document before the group's first that has them."""
-    sent = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-    least = [np.frombuffer(x, "<u4" if len(x) < 8 * len(k) else "<u8").astype(np.int64) + base for x, k, base in zip(table.column("least").to_pylist(), sent, table.column("base").to_pylist(), strict=True)]
-    ends, own = np.cumsum([len(x) for x in sent]), np.concatenate(least)
-    _, low, _, place = _least(np.concatenate(sent), own)
+    sent = [np.frombuffer(x, "<u8").reshape(2, -1) for x in table.column("keys").to_pylist()]
+    least = [np.frombuffer(x, "<u4" if 2 * len(x) < 8 * k.size else "<u8").astype(np.int64) + base for x, k, base in zip(table.column("least").to_pylist(), sent, table.column("base").to_pylist(), strict=True)]
+    ends, own = np.cumsum([k.shape[1] for k in sent]), np.concatenate(least)
+    _, low, _, place = _least(np.concatenate(sent, axis=1), own)
     before = low[place] < own
-    return _rows([(g, 2, key[0].as_py(), np.packbits(before[e - len(k) : e]).tobytes()) for g, e, k in zip(table.column("g").to_pylist(), ends.tolist(), sent, strict=True)], ANSWER)
+    return _rows([(g, 2, key[0].as_py(), np.packbits(before[e - k.shape[1] : e]).tobytes()) for g, e, k in zip(table.column("g").to_pylist(), ends.tolist(), sent, strict=True)], ANSWER)
 
 
-def _cut(buckets: int, length: int, anchor: int) -> Callable:
+def _cut(buckets: int, length: int, anchor: int, bits: int) -> Callable:
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         group = Group(docs, length, anchor)
-        some, hashes = _extend(group, answers, buckets)
+        some, hashes = _extend(group, answers, buckets, bits)
         keys, low, _, place = _least(hashes, group.doc[some])
-        order, begin = _by_bucket(keys, buckets)
-        found = group.at[some[(group.doc[some] > low[place]) | _bits(answers, 2, begin, order)[place]]] if len(some) else some
+        found = group.at[some[(group.doc[some] > low[place]) | Dealt(keys[0], buckets).bits(answers, 2)[place]]] if len(some) else some
         edges = np.zeros(len(group.flat) + 1, np.int32)
         np.add.at(edges, found, 1)
         np.add.at(edges, found + length, -1)
@@ -186,25 +201,28 @@ def _cut(buckets: int, length: int, anchor: int) -> Callable:
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, bucket: int = BUCKET, bits: int = 64) -> DataFrame:
     """Each text of docs(doc_id, text) without the words of windows that also start in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept (the other words, joined by one space) and repeats (first word and words of each
     maximal repeat). Windows are judged on the input. A null or empty text has no words; rows of the same doc_id don't count as
     earlier for one another; a null doc_id neither loses words nor makes others lose them. An empty table gives no rows, other
-    columns are not read.
+    columns are not read. Tasks follow the input's size: each has TURNS groups or buckets, one at a time.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-size // group)), max(common.partitions(spark), -(-size // bucket))
+    tasks = lambda n: max(common.partitions(spark), -(-n // TURNS))
+    by_group = lambda df: df.repartition(tasks(groups), "g").groupBy("g")
+    by_bucket = lambda df: df.repartition(tasks(buckets), "bucket").groupBy("bucket")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "text")
-    asked = dealt.groupBy("g").applyInArrow(_send_anchors(buckets, length, anchor), SENT)
-    seeds = common.save(asked.groupBy("bucket").applyInArrow(_answer_anchors, ANSWER), "repeat-seeds")
+    asked = by_group(dealt).applyInArrow(_send_anchors(buckets, length, anchor), SENT)
+    seeds = common.save(by_bucket(asked).applyInArrow(_answer_anchors, ANSWER), "repeat-seeds")
     common.release(spark)
-    asked = dealt.groupBy("g").cogroup(seeds.groupBy("g")).applyInArrow(_send_windows(buckets, length, anchor), SENT)
-    earlier = common.save(asked.groupBy("bucket").applyInArrow(_answer_windows, ANSWER), "repeat-windows")
+    asked = by_group(dealt).cogroup(by_group(seeds)).applyInArrow(_send_windows(buckets, length, anchor, bits), SENT)
+    earlier = common.save(by_bucket(asked).applyInArrow(_answer_windows, ANSWER), "repeat-windows")
     common.release(spark)
-    return dealt.groupBy("g").cogroup(seeds.unionByName(earlier).groupBy("g")).applyInArrow(_cut(buckets, length, anchor), KEPT)
+    return by_group(dealt).cogroup(by_group(seeds.unionByName(earlier))).applyInArrow(_cut(buckets, length, anchor, bits), KEPT)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
