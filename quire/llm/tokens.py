@@ -21,7 +21,7 @@ class WordTokenizer:
     words of more than `long` bytes are never kept.
     """
 
-    def __init__(self, path: str, words: int = 1_000_000, long: int = 48):
+    def __init__(self, path: str, words: int = 200_000, long: int = 48):
         import numpy as np
         from tokenizers import Tokenizer
 
