@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,31 +43,70 @@ CONTEXT = {
     "phone": r"\b(?:phone|tel|telephone|call|mobile|fax|cell|telefon|t[eé]l[eé]fono|t[eé]l|appelez)\b",
 }
 OTHER = r"\b(?:order|invoice|isbn|issn|version|id|no|nr|sku|serial|total|token|hash|page|commit)\b"
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|ch|at|it|nl|mx|ar)$",
-    "ip": r"^(?:10|127|169|172|192)\.|^(?i:fe80|fc|fd|200[0-9a-f])",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)",
-    "phone": r"^(?:\+|00|\()",
-}
+#: Fixed values, the gazetteer: endings of hosts, starts of private and documentation networks, issuers' first digits, dialling prefixes.
+ENDINGS = "com org net edu gov mil int info biz io dev app ai co me tv xyz online site shop blog cloud de fr es uk eu us ca ch at it nl mx ar be br cl cn cz dk fi gr hu ie il in jp kr lu no nz pl pt ro ru se tr ua za au pe ve uy cat".split()
+NETWORKS = "10. 127. 169. 172. 192. 198. 203. fe80 fc fd 200".split()
+ISSUERS = "4 51 52 53 54 55 22 23 24 25 26 27 34 37 30 36 38 35 6011 62 64 65".split()
+DIALLING = ["+", "00", "("]
+_any = lambda words: "|".join(w.translate({ord(c): "\\" + c for c in ".+("}) for w in words)
+GAZETTEER = {"email": rf"(?i)(?:\.|dot[\])]\x20?)(?:{_any(ENDINGS)})$", "ip": rf"^(?i:{_any(NETWORKS)})", "card": rf"^(?:{_any(ISSUERS)})", "phone": rf"^(?:{_any(DIALLING)})"}
 LABELERS = 5
 SPAN = "struct<s:int,k:int,e:int,v:string>"
 
 
+#: Entries that a fold appends to one by one, and code points of a piece of a text.
+RUN, PIECE = 64, 1024
+NONE = f"cast(array() as array<{SPAN}>)"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, also where it is used in a function of entries."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """values[0], join(values[0], values[1]), ... of an array of ints, not empty. Folds copy what they append to, so runs of RUN are folded first, then their ends."""
+    append = lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x))
+    fold = lambda xs: F.aggregate(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, 1), append)
+    whole = lambda cut, ends: F.flatten(F.transform(cut, lambda xs, i: F.when(i == 0, xs).otherwise(F.transform(xs, lambda x: join(F.element_at(ends, F.greatest(i, F.lit(1))), x)))))
+    cut = lambda vs: F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / RUN).cast("int")), lambda i: _let(F.slice(vs, i * RUN + 1, F.lit(RUN)), fold))
+    ends = lambda cut: _let(F.transform(cut, lambda xs: F.element_at(xs, -1)), fold)
+    return _let(values, lambda vs: F.when(F.size(vs) <= RUN, fold(vs)).otherwise(_let(cut(vs), lambda c: _let(ends(c), lambda e: whole(c, e)))))
+
+
 def _places(text: Column, kind: str, pattern: str) -> Column:
     """Start, kind, end (code points) and value of all matches, leftmost and apart: what lies between matches gives their starts."""
     values = F.when(text.rlike(NEEDS[kind]), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     number = F.lit(KINDS.index(kind))
+    spans_ = lambda v: F.zip_with(v, _running(F.zip_with(v, F.slice(gaps, 1, F.size(v)), lambda x, g: g + F.length(x)), lambda a, b: a + b), lambda x, e: F.struct((e - F.length(x)).alias("s"), number.alias("k"), e.alias("e"), x.alias("v")))
+    return F.when(F.size(values) > 0, _let(values, spans_)).otherwise(F.expr(NONE))
+
+
+def _apart(candidates: Column, spans_: Column) -> Column:
+    """Candidates that overlap none of the spans, by start. Few are compared one by one; many are swept once from either side."""
+    few = lambda cs, xs: F.filter(cs, lambda c: ~F.exists(xs, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("s"), number.alias("k"), end.alias("e"), x["v"].alias("v"))).alias("out"))
+    def sweep(both: Column) -> Column:
+        ahead = _running(F.transform(both, lambda x: F.when(x["own"], 0).otherwise(x["x"]["e"])), F.greatest)  # where spans up to here end at the latest
+        behind = F.reverse(_running(F.reverse(F.transform(both, lambda x: F.when(x["own"], F.lit(2**31 - 1)).otherwise(x["x"]["s"]))), F.least))  # and from here on start at the earliest
+        free = F.zip_with(both, F.arrays_zip(ahead.alias("a"), behind.alias("b")), lambda x, y: F.struct(x["x"].alias("x"), (x["own"] & (y["a"] <= x["x"]["s"]) & (y["b"] >= x["x"]["e"])).alias("free")))
+        return F.transform(F.filter(free, lambda y: y["free"]), lambda y: y["x"])
 
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(values) > 0, walked).otherwise(empty)
+    marked = lambda xs, own: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x.alias("x")))
+    many = lambda cs, xs: _let(F.array_sort(F.concat(marked(xs, False), marked(cs, True))), sweep)
+    return _let(candidates, lambda cs: _let(spans_, lambda xs: F.when(F.size(cs).cast("long") * F.size(xs) <= 4096, few(cs, xs)).otherwise(many(cs, xs))))
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """length code points from start on (from 0) of a text cut into pieces: reads the pieces they lie in, not the text before."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, length)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -87,7 +127,7 @@ def _valid(kind: str):
 def _votes(kind: str, x: Column, base: Column, before: Column, around: Column) -> list[Column]:
     """Each labeler says + (personal), - (not) or 0 (no vote)."""
     digits = _digits(x["v"])
-    strict = {"card": F.when(F.call_function("luhn_check", digits), "+").otherwise("-"), "ip": F.lit("+"), "email": F.when(x["v"].contains("."), "+").otherwise("-"), "phone": F.when(F.length(digits).between(9, 15), "+").when(F.length(digits) < 8, "-").otherwise("0")}[kind]
+    strict = {"card": F.when(F.call_function("luhn_check", digits), "+").otherwise("-"), "ip": F.lit("+"), "email": F.when(x["v"].rlike(r"\.|[\[(]dot[\])]"), "+").otherwise("-"), "phone": F.when(F.length(digits).between(9, 15), "+").when(F.length(digits) < 8, "-").otherwise("0")}[kind]
     return [
         F.when(base, "+").otherwise("0" if kind == "email" else "-"),
         strict,
@@ -121,15 +161,17 @@ def spans(docs: DataFrame) -> DataFrame:
     t = F.col("t")
     strict = {k: F.filter(_places(t, k, BASE[k]), _valid(k)) for k in KINDS}
     found = text.select("doc_id", "t", F.concat(*strict.values()).alias("b"), *[_places(t, k, LOOSE[k]).alias(k) for k in KINDS])
-    apart = lambda a, b: F.filter(a, lambda c: ~F.exists(b, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))
-    rest = {k: apart(F.array_except(F.col(k), F.col("b")), F.col("b")) for k in KINDS}
+    rest = {k: _apart(F.col(k), F.col("b")) for k in KINDS}
     found = found.select("doc_id", "t", "b", *[rest[k].alias(k) for k in KINDS])
-    found = found.select("doc_id", "t", "b", F.concat("email", "ip", "card", apart(F.col("phone"), F.concat("email", "ip", "card"))).alias("c"))
+    found = found.select("doc_id", "t", "b", F.concat("email", "ip", "card", _apart(F.col("phone"), F.concat("email", "ip", "card"))).alias("c"))
+    some = F.size("b") + F.size("c") > 0
+    found = found.select("doc_id", "b", "c", F.when(some, _pieces(t)).otherwise(F.expr("cast(array() as array<string>)")).alias("pieces"))
+    pieces = F.col("pieces")
 
     def described(x: Column, base: Column) -> Column:
         start = F.greatest(x["s"] - 40, F.lit(0))
-        before = F.lower(F.substring(t, start + 1, x["s"] - start))
-        around = F.concat(F.substring(t, F.greatest(x["s"], F.lit(1)), F.when(x["s"] > 0, 1).otherwise(0)), F.substring(t, x["e"] + 1, F.lit(1)))
+        before = F.lower(_part(pieces, start, x["s"] - start))
+        around = F.concat(_part(pieces, F.greatest(x["s"] - 1, F.lit(0)), F.when(x["s"] > 0, 1).otherwise(0)), _part(pieces, x["e"], F.lit(1)))
         votes, features = None, None
         for i, kind in reversed([*enumerate(KINDS)]):
             v, f = F.concat(*_votes(kind, x, base, before, around)), _features(kind, x, base, before, around)
@@ -191,7 +233,7 @@ def private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id and spans (s, k, e, base, p) of personal data in docs(doc_id, text): all base spans, and candidates of p >= threshold.
 
     Texts are read once; what follows reads the spans found. Nothing is grouped by document, so long texts and repeated rows need no
-    shuffle. A null text is empty and has no spans; an empty table gives no rows; other columns are not read.
+    shuffle; a text with m spans costs about m ** 1.5 at worst. A null text is empty and has no spans; an empty table gives no rows; other columns are not read.
     """
     found = common.save(spans(docs), "pii")
     weights = trained(found)
@@ -207,14 +249,28 @@ def private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with the base spans of each text replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; overlaps go to the earlier start."""
+    """docs, all columns, with the base spans of each text replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; those that overlap become one, named by the first."""
     t = F.coalesce("text", F.lit(""))
     strict = F.array_sort(F.concat(*[F.filter(_places(t, k, BASE[k]), _valid(k)) for k in KINDS]))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.element_at(names, x["k"] + 1)).alias("out")))
-    done = F.aggregate(strict, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return docs.withColumn("text", F.when(F.col("text").isNotNull(), done)).select(docs.columns)
+
+    def done(row: Column) -> Column:
+        spans_, pieces, n = row["spans"], row["pieces"], row["n"]
+        return _let(F.concat(F.array(F.lit(0)), _running(F.transform(spans_, lambda x: x["e"]), F.greatest)), lambda ends: regions(spans_, pieces, n, ends))
+
+    def regions(spans_: Column, pieces: Column, n: Column, ends: Column) -> Column:  # ends: where the spans before end at the latest
+        first = F.filter(F.zip_with(spans_, F.slice(ends, 1, F.size(spans_)), lambda x, e: F.struct(x.alias("x"), e.alias("e"))), lambda y: y["x"]["s"] >= y["e"])
+
+        def filled(first: Column) -> Column:
+            froms = F.concat(F.transform(first, lambda y: y["e"]), F.slice(ends, -1, 1))
+            parts = F.transform(froms, lambda a, i: F.concat(_part(pieces, a, F.coalesce(F.get(first, i)["x"]["s"], n) - a), F.when(F.get(first, i).isNull(), "").otherwise(F.element_at(names, F.coalesce(F.get(first, i)["x"]["k"], F.lit(0)) + 1))))
+            return F.array_join(parts, "")
+
+        return _let(first, filled)
+
+    row = F.struct(strict.alias("spans"), _pieces(t).alias("pieces"), F.length(t).alias("n"))
+    clean = F.element_at(F.transform(F.array(row), lambda r: F.when(F.size(r["spans"]) > 0, done(r)).otherwise(t)), 1)
+    return docs.withColumn("text", F.when(F.col("text").isNotNull(), clean)).select(docs.columns)
 
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
