@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ SAMPLE, NEIGHBOURS, BLOCK = 4000, 15, 64
 #: A term of over one SHORT-th of the examples (and of over SHORT) is frequent.
 SHORT = 32
 #: Axes along which frequent terms are bounded, and what rounding to single precision can take away at most.
-AXES, SLACK = 64, 1e-5
+AXES, SLACK = 128, 1e-5
+#: Queries that are bounded at once, and the places of a block's examples.
+TURN, INSIDE = 64, np.arange(BLOCK)
 #: Weight of the prior beside the neighbours' similarities.
 PRIOR = 1.0
 #: Standard errors by which a term's rates in the two classes may differ before it weighs more.
@@ -96,10 +99,10 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, counts, texts = sent.value.numbers(), np.zeros(sent.value.n + 1, np.int64), 0
         for batch in common.small_batches(batches):
-            for text in common.text_bytes(batch.column("text")):
-                counts[[number[w] for w in set(words_of(text)) if w in number]] += 1
+            found = chain.from_iterable(map(number.get, set(words_of(text)), repeat(-1)) for text in common.text_bytes(batch.column("text")))
+            counts += np.bincount(np.fromiter(found, np.int64) + 1, minlength=len(counts))
             texts += batch.num_rows
-        counts[-1] = texts
+        counts = np.append(counts[1:], texts)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], ["word", "n"])
 
@@ -162,40 +165,49 @@ class Index:
         w = (1 + np.log(np.asarray(tf, float))) * self.weights[t]
         return t, w / max(math.sqrt(float(w @ w) + others * self.other**2), 1e-300)
 
-    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, but: int | None = None, others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest of positive cosine, ties by doc_id; `but` leaves out the example of that id."""
-        if not len(terms) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, w = self.unit(terms, tf, others)
-        column = self.column[t]
-        rare = column < 0
-        n = self.begin[t[rare] + 1] - self.begin[t[rare]]
-        some = _ranges(self.begin[t[rare]], n)
-        out = np.bincount(self.at[some], self.weight[some] * np.repeat(w[rare], n), len(self.ids)).astype(float)
-        query = np.zeros(self.matrix.shape[1], np.float32)
-        query[column[~rare]] = w[~rare]
-        along = query @ self.axes
-        bound = out + self.along @ along + self.across * math.sqrt(max(0.0, float(query @ query - along @ along)) + SLACK) + SLACK
+    def nearest(self, queries: list[tuple], k: int = NEIGHBOURS, but: list[int | None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest of positive cosine of each (terms, tf, others), ties by doc_id; `but` leaves out the example of that id.
+
+        Queries are bounded TURN at a time, by one product of matrices.
+        """
+        for start in range(0, len(queries), TURN):
+            units = [self.unit(*q) for q in queries[start : start + TURN]]
+            dense = np.zeros((len(units), self.matrix.shape[1]), np.float32)
+            columns = [self.column[t] for t, _ in units]
+            for i, (column, (_, w)) in enumerate(zip(columns, units, strict=True)):
+                dense[i, column[column >= 0]] = w[column >= 0]
+            along = dense @ self.axes
+            across = np.sqrt(np.maximum(0, np.square(dense).sum(1) - np.square(along).sum(1)) + SLACK)
+            bounds = along @ self.along.T
+            for i, (t, w) in enumerate(units):
+                rare = columns[i] < 0
+                yield self._nearest(t[rare], w[rare], dense[i], bounds[i], float(across[i]), k, but[start + i] if but else None) if len(t) and len(self.ids) else (np.zeros(0, np.int64), np.zeros(0))
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, dense: np.ndarray, bound: np.ndarray, across: float, k: int, but: int | None) -> tuple[np.ndarray, np.ndarray]:
+        n = self.begin[t + 1] - self.begin[t]
+        some = _ranges(self.begin[t], n)
+        out = np.bincount(self.at[some], self.weight[some] * np.repeat(w.astype(np.float32), n), len(self.ids)).astype(np.float32)
+        bound += out
+        bound += self.across * np.float32(across) + np.float32(SLACK)
         best = np.maximum.reduceat(bound, self.starts)
         order = np.argsort(-best, kind="stable")
-        order = order[best[order] > 0]
         read, least, step, hits = 0, 0.0, 4, []
         while read < len(order) and best[order[read]] >= least:
-            inside = (self.starts[order[read : read + step], None] + np.arange(BLOCK)).reshape(-1)
+            inside = (self.starts[order[read : read + step], None] + INSIDE).reshape(-1)
             inside = inside[inside < len(bound)]
             now = inside[bound[inside] >= least]
-            out[now] += self.matrix[now] @ query
+            out[now] += self.matrix[now] @ dense
             hits.append(now)
             read, step = read + step, 2 * step
             found = np.concatenate(hits)
             if len(found) > k:
                 least = max(0.0, float(np.partition(out[found], -k - 1)[-k - 1]))  # one more, for the example left out
-        hits = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        hits = np.concatenate(hits)
         hits = hits[out[hits] >= max(least - 1e-6, 1e-7)]
         if but is not None:
             hits = hits[self.ids[hits] != but]
         hits = hits[np.lexsort((self.ids[hits], -np.round(out[hits], 6)))][:k]
-        return hits, np.minimum(out[hits], 1.0)
+        return hits, np.minimum(out[hits], 1.0).astype(float)
 
 
 class Scorer:
@@ -207,12 +219,17 @@ class Scorer:
         n = np.bincount(index.toxic.astype(int), minlength=2) * self.stands
         self.prior = float(n[1] / n.sum()) if n.sum() else 0.0
 
-    def votes(self, terms: list[int], tf: list[int], but: int | None = None, others: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
-        hits, cosines = self.index.nearest(terms, tf, but=but, others=others)
-        y = self.index.toxic[hits]
-        weight = cosines * self.stands[y] / max(1.0, self.stands[y].max(initial=0.0))
-        weight = np.where(y == 1, np.maximum(weight, 1e-9), weight)
-        return float((weight @ y + PRIOR * self.prior * weight.mean() if len(y) else self.prior) / (weight.sum() + PRIOR * weight.mean() if len(y) else 1.0)), hits, cosines
+    def votes(self, queries: list[tuple], but: list[int | None] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each (terms, tf, others): the share of toxic among its neighbours, their positions and cosines."""
+        for hits, cosines in self.index.nearest(queries, but=but):
+            y = self.index.toxic[hits]
+            if not len(y):
+                yield self.prior, hits, cosines
+                continue
+            weight = cosines * self.stands[y] / max(1.0, self.stands[y].max())
+            weight = np.where(y == 1, np.maximum(weight, 1e-9), weight)
+            mean = weight.mean()
+            yield float((weight @ y + PRIOR * self.prior * mean) / (weight.sum() + PRIOR * mean)), hits, cosines
 
     def calibrate(self, votes: list[tuple[int, float]]) -> None:
         """Platt's two numbers, fitted on (toxic, its votes without itself) of the examples."""
@@ -240,11 +257,11 @@ class Scorer:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    def score(self, terms: list[int], tf: list[int], others: float = 0.0) -> tuple[float, list[dict]]:
-        raw, hits, cosines = self.votes(terms, tf, others=others)
+    def score(self, queries: list[tuple]) -> Iterator[tuple[float, list[dict]]]:
         a, b = self.calibration
-        evidence = [{"doc_id": int(self.index.ids[i]), "similarity": float(c), "toxic": int(self.index.toxic[i])} for i, c in zip(hits[:3], cosines[:3], strict=True)]
-        return 1 / (1 + math.exp(-(a * self._logit(raw) + b))), evidence
+        for raw, hits, cosines in self.votes(queries):
+            evidence = [{"doc_id": int(self.index.ids[i]), "similarity": float(c), "toxic": int(self.index.toxic[i])} for i, c in zip(hits[:3], cosines[:3], strict=True)]
+            yield 1 / (1 + math.exp(-(a * self._logit(raw) + b))), evidence
 
 
 def emphasis(examples: Examples) -> np.ndarray:
@@ -276,7 +293,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, Vocabulary]:
         scorer, examples = sent.value
         for batch in batches:
             some = batch.column("id").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(examples.toxic[some], pa.int32()), pa.array([scorer.votes(*examples[i], but=examples.ids[i])[0] for i in some], pa.float64())], ["toxic", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(examples.toxic[some], pa.int32()), pa.array([x[0] for x in scorer.votes([(*examples[i], 0.0) for i in some], [int(examples.ids[i]) for i in some])], pa.float64())], ["toxic", "raw"])
 
     asked = spark.range(0, len(examples.ids), 1, common.partitions(spark)).mapInArrow(common.lean(run), "toxic int, raw double").toArrow()  # two numbers an example
     scorer.calibrate(sorted(zip(asked.column("toxic").to_pylist(), asked.column("raw").to_pylist(), strict=True)))
@@ -306,7 +323,7 @@ def _scores(rows: DataFrame, sent: Broadcast) -> DataFrame:
         number = vocabulary.numbers()
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in common.small_batches(batches):
-            out = []
+            asked = []
             for text in common.text_bytes(batch.column("text")):
                 counts = Counter(words_of(text))
                 terms, tf, others = [*map(number.get, counts)], [*counts.values()], 0.0
@@ -314,7 +331,8 @@ def _scores(rows: DataFrame, sent: Broadcast) -> DataFrame:
                     others = sum((1 + math.log(n)) ** 2 for t, n in zip(terms, tf, strict=True) if t is None)
                     tf = [n for t, n in zip(terms, tf, strict=True) if t is not None]
                     terms = [t for t in terms if t is not None]
-                out.append(scorer.score(terms, tf, others))
+                asked.append((terms, tf, others))
+            out = [*scorer.score(asked)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], ["doc_id", "score", "evidence"])
 
     scored = rows.mapInArrow(common.lean(run), SCORED)
