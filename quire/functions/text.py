@@ -106,3 +106,7 @@ def clean_name(c: Column) -> Column:
 
 def megabytes(c: Column) -> Column:
     return F.round(c / 1048576, 2)
+
+
+def preview(c: Column, most: int = 50) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)

@@ -25,14 +25,20 @@ def needs_model(items: DataFrame) -> Column:
 
 def runs(items: DataFrame) -> DataFrame:
     """Members of items that need a model, with run: consecutive images share one, all others have none."""
-    rows = items.where(needs_model(items)).select("doc_id", "page_idx", "item", *HEADS, F.posexplode("members").alias("pos", "m"))
-    rows = rows.select("doc_id", "page_idx", "item", *HEADS, "pos", "m.*")
+    rows = items.where(needs_model(items)).select("doc_id", "page_idx", "item", "first_order", *HEADS, F.posexplode("members").alias("pos", "m"))
+    rows = rows.select("doc_id", "page_idx", "item", "first_order", *HEADS, "pos", "m.*")
     image = (F.col("data_type") == "image") | F.col("table_path").isNotNull()
     order = Window.partitionBy("doc_id", "page_idx", "item").orderBy("pos")
     starts = image & ~F.coalesce(F.lag(image).over(order), F.lit(False))
     return rows.withColumn("run", F.when(image, F.sum(starts.cast("int")).over(order)))
 
 
+def shortened(entries: Column, most: int = CONTEXT) -> Column:
+    """entries without their middle where there are more than `most`: the outer halves stay."""
+    half = most // 2
+    return F.when(F.size(entries) > most, F.concat(F.slice(entries, 1, half), F.slice(entries, -half, half))).otherwise(entries)
+
+
 def contexts(members: DataFrame) -> DataFrame:
     """A request for each run: doc_id, page_idx, item, run, first, images (paths in order), context.
 
@@ -50,10 +56,8 @@ def contexts(members: DataFrame) -> DataFrame:
         F.max_by("behind", "pos").alias("behind"),
     )
     heads = F.array_compact(F.array(*[F.concat(F.lit(f"{h.upper()}: "), F.col(h)) for h in HEADS]))
-    around = F.array_compact(F.array("ahead", "behind"))
-    half = CONTEXT // 2
-    short = F.when(F.size(around) > CONTEXT, F.concat(F.slice(around, 1, half), F.slice(around, -half, half))).otherwise(around)
-    return found.select("doc_id", "page_idx", "item", "run", "first", "images", F.array_join(F.concat(heads, short), "\n").alias("context"))
+    entries = F.array_compact(F.array("ahead", "behind"))
+    return found.select("doc_id", "page_idx", "item", "run", "first", "images", F.array_join(F.concat(heads, shortened(entries)), "\n").alias("context"))
 
 
 def cache_key(prompt: Column, images: Column) -> Column:
@@ -86,6 +90,23 @@ def described(requests: DataFrame, client: ModelClient | None = None, slots: int
     return rows.withColumns({"kind": kind, "description": description}).drop("reply")
 
 
+def merged(items: DataFrame, annotated_: DataFrame) -> DataFrame:
+    """All members of items, those that a model was asked about as annotated(): the others keep their type and have no group."""
+    rows = items.select("doc_id", "page_idx", "item", *HEADS, F.posexplode("members").alias("pos", "m")).select("doc_id", "page_idx", "item", "pos", *HEADS, "m.*")
+    told = annotated_.select("doc_id", "page_idx", "item", "pos", F.col("data_type").alias("told"), "group_id", "kind", "description")
+    rows = rows.join(told, ["doc_id", "page_idx", "item", "pos"], "left")
+    return rows.select("doc_id", "page_idx", "item", "pos", *HEADS, "reading_order", "data", "table_path", F.coalesce("told", "data_type").alias("data_type"), "group_id", "kind", "description")
+
+
+def figure_tags(members: DataFrame) -> DataFrame:
+    """Consecutive combined figures of an item as one row: doc_id, page_idx, item, first, n and tag, their types joined by +."""
+    order = Window.partitionBy("doc_id", "page_idx", "item").orderBy("pos")
+    rows = members.withColumn("on", F.coalesce(F.col("kind") == "组合图", F.lit(False)))
+    rows = rows.withColumn("island", F.sum((F.col("on") & ~F.coalesce(F.lag("on").over(order), F.lit(False))).cast("int")).over(order)).where("on")
+    tags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "data_type"))), lambda x: x["data_type"]), "+")
+    return rows.groupBy("doc_id", "page_idx", "item", "island").agg(F.min("pos").alias("first"), F.count("*").alias("n"), tags.alias("tag")).drop("island")
+
+
 def annotated(members: DataFrame, replies_: DataFrame) -> DataFrame:
     """Members with group_id and kind on each image of a run; the description stands on its first."""
     found = replies_.select("doc_id", "page_idx", "item", "run", "first", "kind", "description")

@@ -54,11 +54,11 @@ def clusters(rows: DataFrame) -> DataFrame:
 
     The type of a cluster is rendered as cluster[t1,t2,...]; inside, members stay a typed array.
     """
+    # a section makes one item or one a member, in one pass over it
     found = sections(rows)
-    whole = found.where("is_cluster").select("doc_id", "page_idx", *HEADS, "first_order", "members")
-    single = found.where("NOT is_cluster").select("doc_id", "page_idx", *HEADS, F.explode("members").alias("m"))
-    single = single.select("doc_id", "page_idx", *HEADS, F.col("m.reading_order").alias("first_order"), F.array("m").alias("members"))
-    both = whole.withColumn("is_cluster", F.lit(True)).unionByName(single.withColumn("is_cluster", F.lit(False)))
+    apart = F.transform("members", lambda m: F.struct(m["reading_order"].alias("first_order"), F.array(m).alias("members")))
+    made = F.when(F.col("is_cluster"), F.array(F.struct("first_order", "members"))).otherwise(apart)
+    both = found.select("doc_id", "page_idx", *HEADS, "is_cluster", F.inline(made))
     tag = F.concat(F.lit("cluster["), F.array_join(F.transform("members", lambda m: m["data_type"]), ","), F.lit("]"))
     item = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("first_order")) - 1
     return both.select("doc_id", "page_idx", item.alias("item"), "first_order", *HEADS, F.when(F.col("is_cluster"), tag).otherwise(F.col("members")[0]["data_type"]).alias("data_type"), "is_cluster", "members")
@@ -94,3 +94,8 @@ def report(records: DataFrame, metadata: DataFrame) -> DataFrame:
 def to_json_form(rows: DataFrame) -> DataFrame:
     """Missing headings as the text "null", as the files have it."""
     return rows.withColumns({h: F.coalesce(h, F.lit("null")) for h in HEADS})
+
+
+def unseen(rows: DataFrame) -> DataFrame:
+    """rows with each (doc_id, page_idx, reading_order) once."""
+    return rows.dropDuplicates(["doc_id", "page_idx", "reading_order"])

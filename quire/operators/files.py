@@ -134,3 +134,8 @@ def paired(reports: DataFrame, images: DataFrame) -> DataFrame:
 
 def sectors(spark) -> DataFrame:
     return spark.createDataFrame([(s, i) for s, industries in SECTORS.items() for i in industries], "sector string, industry string")
+
+
+def output_folder(path: Column, root: str, out: str) -> Column:
+    """Where the results of a file go: its folder below `root` moved below `out`, and in it one named after the file."""
+    return F.concat(F.lit(out), F.substr(text.dirname(path), F.lit(len(root) + 1)), F.lit("/"), text.stem(path), F.lit("_preprocessed"))

@@ -82,3 +82,9 @@ def documents(lines: DataFrame) -> DataFrame:
     """The whole Markdown of each document: lines joined, stripped, one newline at the end."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy("doc_id").agg(F.concat(text.strip(body), F.lit("\n")).alias("markdown"))
+
+
+def preview(lines: DataFrame, most: int = 5) -> DataFrame:
+    """The first `most` lines of each document."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    return lines.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")

@@ -18,8 +18,8 @@ DEPTH = 4
 def flatten(trees: DataFrame, rule: str = "levels", strings: bool = True) -> DataFrame:
     """Titles of trees(doc_id, tree), tree a JSON array of strings and {title, subtitles} objects.
 
-    rule "levels": top is 1; a child of a level-2 title is 3; an object that has subtitles is 2, unless under a level above 1; any
-    other child goes from 1 to 3 as a string and 2 as an object, then 2 to 3, 3 to 4, and stays 4 below. rule "depth": the depth is the level.
+    rule "levels": top is 1; a child of a level-2 title is 3; any other string is 3 below a top title, else 4; any other object is 2 if
+    its first subtitle is a string or has subtitles itself or if it is below a top title, else 4. rule "depth": the depth is the level.
     Without `strings` only objects count. An empty title is skipped with all below it. Returns doc_id, ord, title, level, top_idx,
     parent; a tree that doesn't parse gives no rows.
     """
@@ -29,8 +29,7 @@ def flatten(trees: DataFrame, rule: str = "levels", strings: bool = True) -> Dat
     for depth in itertools.count(1):
         if depth > DEPTH and rows.isEmpty():
             break
-        rows.createOrReplaceTempView("__quire_nodes")
-        rows = rows.sparkSession.sql("SELECT n.doc_id, n.parent, n.above, array_append(n.path, e.pos) AS path, e.value AS node FROM __quire_nodes n, LATERAL variant_explode(n.node) AS e")
+        rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("node").outer())).select("doc_id", "parent", "above", F.array_append("path", F.col("pos")).alias("path"), F.col("value").alias("node"))
         is_object = F.schema_of_variant("node").startswith("OBJECT")
         title = F.when(is_object, F.try_variant_get("node", "$.title", "string")).otherwise(F.try_variant_get("node", "$", "string"))
         below = F.expr("try_variant_get(node, '$.subtitles', 'variant')")
@@ -39,7 +38,10 @@ def flatten(trees: DataFrame, rule: str = "levels", strings: bool = True) -> Dat
         elif depth == 1:
             level = F.lit(1)
         else:
-            level = F.when(F.col("above") == 2, 3).when(is_object & below.isNotNull() & (F.col("above") == 1), 2).when(~is_object & (F.col("above") == 1), 3).when(F.col("above") == 1, 2).when(is_object & below.isNotNull(), 2).otherwise(F.least(F.col("above") + 1, F.lit(4)))
+            first = F.expr("try_variant_get(node, '$.subtitles[0]', 'variant')")
+            upper = F.schema_of_variant(first) == "STRING"
+            upper |= F.expr("try_variant_get(node, '$.subtitles[0].subtitles', 'variant')").isNotNull()
+            level = F.when(F.col("above") == 2, 3).when(~is_object, F.when(F.col("above") == 1, 3).otherwise(4)).when(F.coalesce(upper, F.lit(False)) | (F.col("above") == 1), 2).otherwise(4)
         rows = rows.select("doc_id", "parent", "path", is_object.alias("is_object"), text.strip(title).alias("title"), level.alias("level"), below.alias("below")).where("title <> ''" + ("" if strings else " AND is_object"))
         part = rows.select("doc_id", "path", "title", "level", "parent")
         found = part if found is None else found.unionByName(part)
@@ -55,8 +57,8 @@ def neighbours(titles: DataFrame) -> DataFrame:
 
 
 def headings(lines: DataFrame) -> DataFrame:
-    """Heading lines of a document: doc_id, line_no, title, level."""
-    rows = lines.where(text.strip(F.col("line")).rlike("^#+"))
+    """Heading lines of a document, which start with a sign and have a text: doc_id, line_no, title, level."""
+    rows = lines.where(F.col("line").rlike(r"(?U)^#+\s*[^#\s]"))
     return rows.select("doc_id", "line_no", text.heading_text(F.col("line")).alias("title"), text.heading_level(F.col("line")).alias("level"))
 
 
@@ -102,7 +104,13 @@ def walk(titles: list[dict], heads: list[dict], threshold: float = 0.8, cjk_only
 def best_matches(titles: DataFrame, heads: DataFrame, threshold: float = 0.8, cjk_only: bool = False) -> DataFrame:
     """Each title's best heading of its document, the first of equals, in any order and many to one: doc_id, ord, line_no, score."""
     pairs = titles.select("doc_id", "ord", F.col("title").alias("t")).join(heads.select("doc_id", "line_no", F.col("title").alias("h")), "doc_id")
-    pairs = pairs.withColumn("score", similarity.title_score(F.col("h"), F.col("t"), threshold, cjk_only)).where("score > 0")
+    importable(titles.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(h: pd.Series, t: pd.Series) -> pd.Series:  # bit-parallel, and lengths that can't reach the threshold are told by themselves
+        return pd.Series([similarity.score(x, y, threshold, cjk_only) for x, y in zip(h, t, strict=True)])
+
+    pairs = pairs.withColumn("score", score("h", "t")).where("score > 0")
     best = pairs.groupBy("doc_id", "ord").agg(F.max(F.struct(F.col("score"), (-F.col("line_no")).alias("n"))).alias("b"))
     return titles.select("doc_id", "ord").join(best, ["doc_id", "ord"], "left").select("doc_id", "ord", (-F.col("b.n")).alias("line_no"), F.col("b.score").alias("score"))
 
@@ -110,7 +118,13 @@ def best_matches(titles: DataFrame, heads: DataFrame, threshold: float = 0.8, cj
 def candidates(titles: DataFrame, heads: DataFrame, most: int = 3) -> DataFrame:
     """The `most` nearest headings of each title by ratio of whole texts, ties by line: doc_id, ord, rank, line_no, ratio."""
     pairs = titles.select("doc_id", "ord", F.col("title").alias("t")).join(heads.select("doc_id", "line_no", F.col("title").alias("h")), "doc_id")
-    pairs = pairs.withColumn("ratio", similarity.ratio(F.col("h"), F.col("t")))
+    importable(titles.sparkSession)
+
+    @F.pandas_udf("double")
+    def near(h: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([2 * similarity.lcs_length(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(h, t, strict=True)])
+
+    pairs = pairs.withColumn("ratio", near("h", "t"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy(F.desc("ratio"), "line_no"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "ord", "rank", "line_no", "ratio")
 
@@ -119,7 +133,7 @@ def relevelled(lines: DataFrame, titles: DataFrame, matches: DataFrame, demote_u
     """lines with matched headings at their title's level; other headings become ####, if asked for."""
     levels = matches.where("line_no IS NOT NULL").join(titles.select("doc_id", "ord", F.col("level").alias("new_level")), ["doc_id", "ord"]).select("doc_id", "line_no", "new_level")
     rows = lines.join(levels, ["doc_id", "line_no"], "left")
-    is_head = text.strip(F.col("line")).rlike("^#+")
+    is_head = F.col("line").rlike(r"(?U)^#+\s*[^#\s]")
     level = F.coalesce("new_level", F.lit(4) if demote_unmatched else F.lit(None).cast("int"))
     new = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text.heading_text(F.col("line")))
     return rows.withColumn("line", F.when(is_head & level.isNotNull(), new).otherwise(F.col("line"))).select(lines.columns)

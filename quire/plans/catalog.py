@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import replies, similarity, text
+from quire.functions import text
 from quire.operators import annotate, blocks, files, markdown, reports, titles, toc
 from quire.plans import pipeline
 
@@ -102,22 +102,6 @@ scores AS (SELECT doc_id, page_num, sum(CASE WHEN line = '' THEN 0 ELSE 2 * rege
 toc AS (SELECT p.doc_id, p.page_num, toc_score, toc_lines, regexp_matches(lower(text), '{_RE(toc.KEYWORDS)}') OR (NOT regexp_matches(lower(text), '{_RE(toc.REPORTS)}') AND toc_lines > 0
     AND ((toc_score > 0.5 * toc_lines AND toc_score >= 5) OR toc_score >= 8)) AS is_toc, text FROM pages_ p JOIN scores s ON p.doc_id = s.doc_id AND p.page_num = s.page_num)"""
 
-TREE = '[{"title":"总则","subtitles":["目的",{"title":"范围","subtitles":["甲","乙"]}]},{"title":"治理"},{"title":"","subtitles":["skipped"]},"附录",{"title":"环境","subtitles":[{"title":"能源","subtitles":[]},"水"]}]'
-NAMES = ["/r/300497.SZ-富祥药业-2024年度环境报告_grouped.json", "/r/600000.SH-某银行-2023年度社会责任报告_vlm.json", "/r/000001.SZ-平安-2022年度报告.json", "/r/ABC.US-Foo Inc-2024年度ESG_grouped.json", "/r/300529.SZ-健帆-2024年报告_grouped.json", "/r/notes.json"]
-PAIRS = [("1.2 公司治理", "公司治理"), ("公司治理", "公司治理"), ("环境管理体", "环境管理"), ("环境与能源管理体系建设情况", "能源管理"), ("Introduction", "Appendix"), ("kitten", "sitting"), ("", ""), ("社会责任甲", "社会义务乙")]
-REPLIES = [("第12行之前", 20), ("位置：7", 20), ("无法判断", 20), ("第99行", 20), ("插入：第3行", 5), ("统计图 rising", 9), ("组合图text", 9)]
-FOLDERS = ["报告 2024(终)", "plain-name.1", "a b", "ab", "x*y", "xy?"]
-
-
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _sql_values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
-
-
 # ---------------------------------------------------------------- queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,57 +233,6 @@ def structure_lines(spark, d):
     return rows
 
 
-@query("WITH t(ord, title, level, top_idx, parent) AS (VALUES (0, '总则', 1, 0, NULL), (1, '目的', 3, 0, '总则'), (2, '范围', 2, 0, '总则'), (3, '甲', 3, 0, '范围'), (4, '乙', 3, 0, '范围'), (5, '治理', 1, 1, NULL), (6, '附录', 1, 3, NULL), (7, '环境', 1, 4, NULL), (8, '能源', 2, 4, '环境'), (9, '水', 3, 4, '环境')) SELECT 1 AS doc_id, t.*, lag(title) OVER (ORDER BY ord) AS prev_title, lead(title) OVER (ORDER BY ord) AS next_title FROM t")
-def title_flatten(spark, d):
-    return titles.neighbours(titles.flatten(values(spark, [(1, TREE)], "doc_id int, tree string")))
-
-
-@query("SELECT 1 AS doc_id, ord, title, level FROM (VALUES (0, '总则', 1), (1, '范围', 2), (2, '治理', 1), (3, '环境', 1), (4, '能源', 2)) AS t(ord, title, level)")
-def title_flatten_objects(spark, d):
-    return titles.flatten(values(spark, [(1, TREE)], "doc_id int, tree string"), "depth", False).select("doc_id", "ord", "title", "level")
-
-
-@query("SELECT 7 AS doc_id, * FROM (VALUES (0, 'A', 1, 0, NULL), (1, 'B', 2, 0, 'A'), (2, 'C', 3, 0, 'B'), (3, 'D', 1, 1, NULL)) AS t(ord, title, level, top_idx, parent)")
-def outline_parse(spark, d):
-    reply = f"thinking\n{replies.MARKER}\nA\n    B\n        C\n- dropped\nD\n        lost\n"
-    return replies.outlines(values(spark, [(7, reply), (8, "A\n    B")], "doc_id int, reply string"))
-
-
-_CJK = lambda c: rf"regexp_replace({c}, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')"
-
-
-@query(
-    f"WITH p AS (SELECT *, {_CJK('heading')} AS ca, {_CJK('title')} AS cb FROM {_sql_values(PAIRS, 'heading, title')}), q AS (SELECT *, CASE WHEN ca = '' OR cb = '' THEN heading ELSE ca END AS a, CASE WHEN ca = '' OR cb = '' THEN title ELSE cb END AS b FROM p)"
-    " SELECT heading, title, length(a) AS m, length(b) AS n, (heading = title OR a = b) AS same, contains(a, b) AS holds FROM q"
-)
-def title_pairs(spark, d):
-    rows = values(spark, PAIRS, "heading string, title string").withColumns({"ca": text.cjk(F.col("heading")), "cb": text.cjk(F.col("title"))})
-    bare = (F.col("ca") == "") | (F.col("cb") == "")
-    rows = rows.withColumns({"a": F.when(bare, F.col("heading")).otherwise(F.col("ca")), "b": F.when(bare, F.col("title")).otherwise(F.col("cb"))})
-    return rows.select("heading", "title", F.length("a").cast("long").alias("m"), F.length("b").cast("long").alias("n"), ((F.col("heading") == F.col("title")) | (F.col("a") == F.col("b"))).alias("same"), F.col("a").contains(F.col("b")).alias("holds"))
-
-
-@query("SELECT * FROM (VALUES ('1.2 公司治理', '公司治理', 1.0::DOUBLE), ('公司治理', '公司治理', 1.0), ('环境管理体', '环境管理', round(8.0/9, 6)), ('环境与能源管理体系建设情况', '能源管理', 0.9), ('Introduction', 'Appendix', 0.0), ('kitten', 'sitting', 0.0), ('', '', 1.0), ('社会责任甲', '社会义务乙', 0.0)) AS t(heading, title, score)")
-def title_similarity(spark, d):
-    return values(spark, PAIRS, "heading string, title string").select("heading", "title", F.round(similarity.title_score(F.col("heading"), F.col("title")), 6).alias("score"))
-
-
-@query(
-    f"""SELECT path, CASE WHEN ok THEN regexp_extract(s, p, 1) ELSE 'UNKNOWN' END AS stock_code, CASE WHEN ok THEN regexp_extract(s, p, 2) ELSE '未知公司' END AS company_name, CASE WHEN ok THEN regexp_extract(s, p, 3)::INT ELSE 0 END AS report_year,
-    CASE WHEN ok THEN regexp_extract(s, p, 3) || regexp_extract(s, p, 4) || regexp_extract(s, p, 5) ELSE '未知报告' END AS report_title FROM (SELECT path, s, p, regexp_matches(s, p) AS ok FROM (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', ''), '(_grouped|_vlm)$', '') AS s, '^([^-]+)-([^-]+)-(\\d{{4}})(年度|年)(.+)$' AS p FROM {_sql_values([(n,) for n in NAMES], "path")}))"""
-)
-def metadata_short(spark, d):
-    return values(spark, [(n,) for n in NAMES], "path string").select("path", files.report_metadata(F.col("path")).alias("m")).select("path", "m.stock_code", "m.company_name", "m.report_year", "m.report_title").na.fill(0, ["report_year"])
-
-
-@query(
-    f"""SELECT path, CASE WHEN ok THEN regexp_extract(s, p, 3)::INT ELSE 0 END AS report_year, CASE WHEN ok THEN regexp_extract(s, p, 3) || '年度' || regexp_extract(s, p, 4) ELSE '未知报告' END AS report_name, CASE WHEN ok THEN regexp_extract(s, p, 4) ELSE '未知类型' END AS report_type
-    FROM (SELECT path, s, p, regexp_matches(s, p) AS ok FROM (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', ''), '({"|".join(files.SUFFIXES)})$', '') AS s, '^([^-]+)-([^-]+)-(\\d{{4}})年度(.+)$' AS p FROM {_sql_values([(n,) for n in NAMES], "path")}))"""
-)
-def metadata_long(spark, d):
-    return values(spark, [(n,) for n in NAMES], "path string").select("path", files.file_metadata(F.col("path")).alias("m")).select("path", "m.report_year", "m.report_name", "m.report_type").na.fill(0, ["report_year"])
-
-
 @query("SELECT page_id, '![](img dir/' || page_id || ' ü.jpg)' AS markdown_url, 'file:///data/r%20%C3%BC/img%20dir/' || page_id || '%20%C3%BC.jpg' AS file_url, 'img dir/' || page_id || ' ü.jpg' AS relative_path, 'http://localhost:8000/r%20%C3%BC/img%20dir/' || page_id || '%20%C3%BC.jpg' AS http_url FROM pages")
 def url_forms(spark, d):
     rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(" ü.jpg")).alias("name"))
@@ -319,29 +252,11 @@ def url_fix(spark, d):
     return files.fixed_urls(rows.select("page_id", F.concat(F.lit("file:///x%20y/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("file_url")), there)
 
 
-@query("SELECT * FROM (VALUES ('报告 2024(终)', '报告2024终', 'rename'), ('plain-name.1', 'plain-name.1', 'keep'), ('a b', 'ab', 'collision'), ('ab', 'ab', 'keep'), ('x*y', 'xy', 'collision'), ('xy?', 'xy', 'collision')) AS t(src, dst, action)")
-def folder_clean_plan(spark, d):
-    return files.rename_plan(values(spark, [(x,) for x in FOLDERS], "name string"))
-
-
-@query(f"SELECT industry, sector FROM {_sql_values([(s, i) for s, x in files.SECTORS.items() for i in x], 'sector, industry')} WHERE industry IN ('煤炭', '电子', '医药', '传媒')")
-def sector_lookup(spark, d):
-    asked = values(spark, [("煤炭",), ("电子",), ("医药",), ("传媒",), ("none",)], "industry string")
-    return asked.join(F.broadcast(files.sectors(spark)), "industry").select("industry", "sector")
-
-
-@query("SELECT reply, CAST(coalesce(line, -1) AS INT) AS line, kind FROM (VALUES ('第12行之前', 12, '纯文本图'), ('位置：7', 7, '纯文本图'), ('无法判断', NULL, '纯文本图'), ('第99行', NULL, '纯文本图'), ('插入：第3行', 3, '纯文本图'), ('统计图 rising', NULL, '统计图'), ('组合图text', NULL, '组合图')) AS t(reply, line, kind)")
-def reply_parse(spark, d):
-    rows = values(spark, REPLIES, "reply string, lines int")
-    return rows.select("reply", F.coalesce(replies.line_number(F.col("reply"), F.col("lines")), F.lit(-1)).alias("line"), replies.image_kind(F.col("reply")).alias("kind"))
-
-
 @query(f"WITH {_CLUSTERS} SELECT doc_id, page_idx, first_order, count(*) AS runs FROM (SELECT i.doc_id, i.page_idx, i.first_order, u.ord, u.t <> 'text' AND (u.ord = 1 OR x[u.ord - 1] = 'text') AS starts FROM (SELECT *, string_split(regexp_extract(data_type, '^cluster\\[(.*)\\]$', 1), ',') AS x FROM items WHERE starts_with(data_type, 'cluster')) i, unnest(x) WITH ORDINALITY AS u(t, ord)) WHERE starts GROUP BY ALL")
 def image_runs(spark, d):
     """Of clusters. All tables here are bound to images, so each is part of a run."""
-    rows = items(spark, d).where("is_cluster")
-    found = annotate.runs(rows).where("run IS NOT NULL").select("doc_id", "page_idx", "item", "run").distinct()
-    return found.join(rows.select("doc_id", "page_idx", "item", "first_order"), ["doc_id", "page_idx", "item"]).groupBy("doc_id", "page_idx", "first_order").agg(F.count("*").alias("runs"))
+    found = annotate.runs(items(spark, d).where("is_cluster")).where("run IS NOT NULL")
+    return found.groupBy("doc_id", "page_idx", "first_order").agg(F.count_distinct("run").alias("runs"))
 
 
 @query()
@@ -353,7 +268,7 @@ def image_annotation(spark, d):
 @query("WITH c AS (SELECT md5(event_type || user_id) AS key, ts, event_id FROM events), n AS (SELECT max(ts) AS now FROM events), fresh AS (SELECT key, max(ts) AS ts FROM c, n WHERE c.ts > now - INTERVAL 24 HOUR GROUP BY key), asked AS (SELECT DISTINCT key FROM c) SELECT key, key IN (SELECT key FROM fresh) AS hit FROM asked")
 def cache_lookup(spark, d):
     log = spark.read.parquet(f"{d}/events.parquet").select(F.md5(F.concat("event_type", F.col("user_id").cast("string"))).alias("key"), "ts", F.col("event_id").cast("string").alias("result"))
-    hits, misses = annotate.with_cache(log.select("key").distinct(), log, F.lit(log.agg(F.max("ts")).first()[0]))
+    hits, misses = annotate.with_cache(log.select("key").distinct(), log, log.agg(F.max("ts")).scalar())
     return hits.select("key", F.lit(True).alias("hit")).unionByName(misses.select("key", F.lit(False).alias("hit")))
 
 
@@ -404,8 +319,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from quire.plans import rules
+
+    return QUERIES | rules.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from quire.plans import rules
+
+    return ORACLE | rules.ORACLE

@@ -117,7 +117,7 @@ def structure(lines: DataFrame, titles_: DataFrame, config: Structure = Structur
 def page_records(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     """Lines to blocks, clusters and back to a record for each page. The windows and groups share their keys' partitioning."""
     rows = blocks.blocks(markdown.pages(lines), tolerant)
-    return blocks.page_records(blocks.restored(blocks.clusters(rows)).withColumn("reading_order", F.col("reading_order")))
+    return blocks.page_records(blocks.restored(blocks.clusters(rows)))
 
 
 def annotated(lines: DataFrame, client: ModelClient | None = None, slots: int | None = None) -> DataFrame:

@@ -35,11 +35,14 @@ def other(small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+KNOWN, ORACLE = catalog.queries(), catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(KNOWN))
 def test_query(spark, small, other, name):
-    found = catalog.QUERIES[name](spark, small).toPandas()
-    if name in catalog.ORACLE:
-        wanted = other.sql(catalog.ORACLE[name]).df()
+    found = KNOWN[name](spark, small).toPandas()
+    if name in ORACLE:
+        wanted = other.sql(ORACLE[name]).df()
         assert sorted(found.columns) == sorted(wanted.columns)
         assert rows(found) == rows(wanted)
     else:
