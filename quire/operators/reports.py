@@ -70,3 +70,9 @@ def image_filter(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def url_counts(fixed: DataFrame) -> DataFrame:
     return fixed.agg(F.count("*").alias("seen"), F.count("fixed").alias("fixed"))
+
+
+def as_text(stages: DataFrame) -> DataFrame:
+    """stage_summary() as one text: report."""
+    line = F.concat("stage", F.lit(": "), F.col("documents").cast("string"), F.lit(" documents, "), F.format_number(F.col("mean_rate") * 100, 1), F.lit(" % went well"))
+    return stages.agg(F.concat(F.lit("Stages\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("report"))  # a line for each stage

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from quire.operators import annotate, blocks, files, markdown, titles, toc
 
 @dataclass(frozen=True)
 class Preprocess:
-    json_to_md: bool = True
     add_page_markers: bool = True
     preserve_html_tables: bool = True
     link_images: bool = True
@@ -48,7 +47,7 @@ class Structure:
         return [f"{k} is outside 0 to 1" for k in ("title_similarity_threshold", "insert_confidence_threshold") if not 0 <= getattr(self, k) <= 1]
 
 
-#: Named variations; an unknown name is an error.
+#: Named variations and presets; an unknown name is an error.
 PREPROCESS_ABLATIONS = {
     "no_text_detection": {"text_detection": False},
     "no_image_validation": {"validate_image_existence": False},
@@ -68,6 +67,21 @@ STRUCTURE_ABLATIONS = {
 PRESETS = {"fast": {"text_detection": False}, "high_quality": {"confidence_threshold": 50.0, "min_text_length": 5}, "debug": {}}
 
 
+def loaded(kind: type, values: dict):
+    """A configuration of Preprocess or Structure from a dict; unknown names and values out of range are errors."""
+    known = {f.name for f in fields(kind)}
+    if unknown := sorted(set(values) - known):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    config = kind(**values)
+    if errors := config.errors():
+        raise ValueError("; ".join(errors))
+    return config
+
+
+def preset(name: str, config: Preprocess = Preprocess()) -> Preprocess:
+    return varied(config, name, PRESETS)
+
+
 def varied(config, name: str, table: dict[str, dict]):
     if name not in table:
         raise ValueError(f"unknown variation: {name}")
@@ -80,10 +94,6 @@ class Inputs:
 
     images: DataFrame | None = None  # path
     image_text: DataFrame | None = None  # path, text_length, and maybe confidence
-    replies: DataFrame | None = None  # doc_id, reply
-    trees: DataFrame | None = None  # doc_id, tree
-    client: ModelClient | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def preprocess(objects: DataFrame, config: Preprocess = Preprocess(), inputs: Inputs | None = None) -> DataFrame:
@@ -101,13 +111,18 @@ def preprocess(objects: DataFrame, config: Preprocess = Preprocess(), inputs: In
 
 
 def structure(lines: DataFrame, titles_: DataFrame, config: Structure = Structure(), places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines with levels by their titles, the alignment). Missing titles go to `places` or else before their anchor."""
+    """(lines with levels by their titles, the alignment). Missing titles go to `places` or else before their anchor.
+
+    Places that carry a confidence below insert_confidence_threshold don't count.
+    """
     heads = titles.headings(lines)
     matches = titles.align(titles_, heads, config.title_similarity_threshold, config.cjk_only, config.fuzzy_match)
     out = titles.relevelled(lines, titles_, matches, config.demote_unmatched) if config.auto_adjust_levels else lines
     if config.auto_insert_missing_titles:
         where = titles.anchors(titles_, matches, heads).select("doc_id", "ord", "title", "level", F.col("prev_line").alias("at"))
         if places is not None and config.use_llm_matching:
+            if "confidence" in places.columns:
+                places = places.where(F.col("confidence") >= config.insert_confidence_threshold)
             known = places.select("doc_id", "ord", F.col("at").alias("told"))
             where = where.join(known, ["doc_id", "ord"], "left").select("doc_id", "ord", "title", "level", F.coalesce("told", "at").alias("at"))
         out = titles.inserted(out, where)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import replies, similarity, text
+from quire.models import OfflineClient
 from quire.operators import annotate, blocks, files, markdown, reports, titles
+from quire.plans import drivers
 from quire.plans.catalog import _BLOCKS, _CLUSTERS, _LINES, _LOG, _MD, block_rows, items, lines, log, md
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,7 +125,7 @@ def pairs(spark, d):
     return table(spark, d, "events").select("event_id", heading.alias("heading"), title.alias("title"))
 
 
-@query(f"WITH {_PAIR} SELECT event_id, round(CASE WHEN k = 0 AND b = 0 THEN 1.0 WHEN k = 0 AND 2.0 * a / (2 * a + b) >= 0.8 THEN 2.0 * a / (2 * a + b) WHEN k = 0 THEN 0.9 ELSE 0.0 END, 6) AS score, round(CASE k WHEN 0 THEN 2.0 * a / (2 * a + b + 4) ELSE 0 END, 6) AS ratio FROM {'p'}")
+@query(f"WITH {_PAIR} SELECT event_id, round(CASE WHEN k = 0 AND b = 0 THEN 1.0 WHEN k = 0 AND 2.0 * a / (2 * a + b) >= 0.8 THEN 2.0 * a / (2 * a + b) WHEN k = 0 THEN 0.9 ELSE 0.0 END::DOUBLE, 6) AS score, round(CASE k WHEN 0 THEN 2.0 * a / (2 * a + b + 4) ELSE 0 END::DOUBLE, 6) AS ratio FROM {'p'}")
 def title_similarity(spark, d):
     h, t = F.col("heading"), F.col("title")
     return pairs(spark, d).select("event_id", F.round(similarity.title_score(h, t), 6).alias("score"), F.round(similarity.ratio(h, t), 6).alias("ratio"))
@@ -172,7 +174,7 @@ def best_match(spark, d):
 _RUNS = "c AS (SELECT DISTINCT user_id AS doc_id, 1 + event_id % 12 AS n FROM events), h AS (SELECT doc_id, n AS line_no, repeat('甲', n::INT) AS title FROM c), t AS (SELECT DISTINCT doc_id, CAST(n % 5 AS INT) AS ord FROM c)"
 
 
-@query(f"WITH {_RUNS}, r AS (SELECT t.doc_id, ord, h.line_no, 2.0 * least(ord + 1, h.line_no) / (ord + 1 + h.line_no) AS ratio FROM t JOIN h ON t.doc_id = h.doc_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, ord ORDER BY ratio DESC, line_no) AS INT) AS rank FROM r) SELECT doc_id, ord, rank, line_no, round(ratio, 9) AS ratio FROM k WHERE rank <= 3")
+@query(f"WITH {_RUNS}, r AS (SELECT t.doc_id, ord, h.line_no, 2.0 * least(ord + 1, h.line_no) / (ord + 1 + h.line_no) AS ratio FROM t JOIN h ON t.doc_id = h.doc_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, ord ORDER BY ratio DESC, line_no) AS INT) AS rank FROM r) SELECT doc_id, ord, rank, line_no, round(ratio::DOUBLE, 9) AS ratio FROM k WHERE rank <= 3")
 def title_candidates(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (1 + F.col("event_id") % 12).alias("n")).distinct()
     heads = rows.select("doc_id", F.col("n").alias("line_no"), F.repeat(F.lit("甲"), F.col("n").cast("int")).alias("title"))
@@ -300,7 +302,7 @@ def report_pairs(spark, d):
     return files.paired(rows.select(text_of(F.when(F.col("page_id") % 2 == 0, "20240101_").otherwise(""), F.col("name")).alias("report")), images)
 
 
-@query("SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(string_split(url, '/')[-1], '.(\\.[^.]*)$', 1)) AS extension, regexp_replace(url, '/?[^/]*$', '') AS folder, round(page_id * 100000 / 1048576, 2) AS mb, replace(url, '/', chr(92)) AS back FROM pages")
+@query("SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(string_split(url, '/')[-1], '.(\\.[^.]*)$', 1)) AS extension, regexp_replace(url, '/?[^/]*$', '') AS folder, round((page_id * 100000 / 1048576)::DOUBLE, 2) AS mb, replace(url, '/', chr(92)) AS back FROM pages")
 def path_parts(spark, d):
     url = F.col("url")
     back = F.replace(url, F.lit("/"), F.lit("\\"))
@@ -353,3 +355,64 @@ def text_previews(spark, d):
 @query(f"WITH {_MD} SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM linked) WHERE n <= 5")
 def first_lines(spark, d):
     return markdown.preview(md(spark, d))
+
+
+# ---------------------------------------------------------------- through a model client: the offline one answers from the request alone
+
+
+@query("SELECT doc_id, CAST(i AS INT) AS ord, t AS title, CAST(l AS INT) AS level, CAST(k AS INT) AS top_idx, p AS parent FROM documents, LATERAL (VALUES (0, 'A' || doc_id, 1, 0, NULL), (1, 'B', CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END, 0, 'A' || doc_id), (2, 'C', 1, 1, NULL)) AS v(i, t, l, k, p)")
+def outline_extraction(spark, d):
+    """A reply with a JSON array is read as a tree, any other as an outline."""
+    tree = text_of('[{"title":"A', F.col("doc_id"), '","subtitles":["B"]},"C"]')
+    image = F.when(F.col("doc_id") % 2 == 0, tree).otherwise(text_of("A", F.col("doc_id"), "\n    B\nC"))
+    return drivers.titles_of(drivers.outline_replies(table(spark, d, "documents").select("doc_id", F.encode(image, "UTF-8").alias("image"))))
+
+
+@query(f"WITH {_RUNS}, r AS (SELECT t.doc_id, ord, h.line_no, 2.0 * least(ord + 1, h.line_no) / (ord + 1 + h.line_no) AS ratio FROM t JOIN h ON t.doc_id = h.doc_id) SELECT doc_id, ord, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY ratio DESC, line_no) AS rank FROM r) WHERE rank = 1")
+def title_choice(spark, d):
+    """The offline client picks the first, which is the nearest."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (1 + F.col("event_id") % 12).alias("n")).distinct()
+    heads = rows.select("doc_id", F.col("n").alias("line_no"), F.repeat(F.lit("甲"), F.col("n").cast("int")).alias("title"))
+    asked = rows.select("doc_id", (F.col("n") % 5).cast("int").alias("ord")).distinct().withColumn("title", F.repeat(F.lit("甲"), F.col("ord") + 1))
+    return drivers.chosen(asked, heads)
+
+
+@query(f"WITH {_LINES}, ask AS (SELECT doc_id, 0 AS ord, line_no + 2 AS prev_line FROM lines WHERE line_no % 8 = 1) SELECT doc_id, prev_line - 2 AS ord, prev_line AS at FROM ask")
+def title_places(spark, d):
+    """The offline client names the first line it sees; a window behind the last line keeps its own."""
+    rows = lines(spark, d)
+    missing = rows.where("line_no % 8 = 1").select("doc_id", F.col("line_no").alias("ord"), F.lit("t").alias("title"), F.lit(2).alias("level"), (F.col("line_no") + 2).alias("prev_line"), (F.col("line_no") + 9).alias("next_line"))
+    return drivers.placed(rows, missing).select("doc_id", "ord", "at")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"relevant\":true}' WHEN 1 THEN '{\"relevant\":false}' ELSE '{\"raw_analysis\":\"no context\"}' END AS analysis FROM events")
+def title_relevance(spark, d):
+    id_, kind = F.col("event_id"), F.col("event_type")
+    context = F.when(id_ % 3 == 0, text_of("of ", kind, " and more")).when(id_ % 3 == 1, "other").otherwise("")
+    return drivers.relevance(table(spark, d, "events").select("event_id", kind.alias("title"), context.alias("context"))).select("event_id", "analysis")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no AS page_num, CASE line_no % 3 WHEN 0 THEN 'layer ' || line_no WHEN 1 THEN 'read ' || line_no ELSE '' END AS text FROM lines")
+def page_reading(spark, d):
+    """Pages with a text layer keep it, others are read from their image, and one without either is empty."""
+    n = F.col("line_no")
+    pages = lines(spark, d).select("doc_id", n.alias("page_num"), F.when(n % 3 == 0, text_of("layer ", n)).otherwise(" ").alias("text"), F.when(n % 3 == 1, F.encode(text_of("read ", n), "UTF-8")).alias("image"))
+    return drivers.page_texts(pages, OfflineClient()).select("doc_id", "page_num", "text")
+
+
+@query(f"""WITH RECURSIVE {_HEADS}, walk AS (
+    SELECT doc_id, -1 AS ord, -1 AS at, NULL::INT AS line_no FROM (SELECT DISTINCT doc_id FROM tt)
+    UNION ALL SELECT w.doc_id, w.ord + 1, coalesce(m.line_no, w.at), m.line_no FROM walk w JOIN tt ON tt.doc_id = w.doc_id AND tt.ord = w.ord + 1
+        LEFT JOIN LATERAL (SELECT min(hs.line_no) AS line_no FROM hs WHERE hs.doc_id = w.doc_id AND hs.line_no > w.at AND hs.title = tt.title) m ON true),
+    c AS (SELECT count(*) AS titles, count(line_no) AS matched FROM walk WHERE ord >= 0)
+    SELECT experiment, titles, matched, round(matched / titles, 9) AS rate, 0.0::DOUBLE AS rate_delta, rank FROM c, (VALUES ('baseline', 1), ('minimal_processing', 2), ('no_fuzzy_match', 3), ('strict_matching', 4)) AS v(experiment, rank)""")
+def structure_variations(spark, d):
+    """Variations that match equal titles only, against a baseline that does as well."""
+    heads, rows = heads_and_titles(spark, d)
+    found = drivers.structure_ablation(md(spark, d), rows, ["no_fuzzy_match", "strict_matching", "minimal_processing"], drivers.pipeline.Structure(fuzzy_match=False))
+    return found.withColumns({"rate": F.round("rate", 9), "rate_delta": F.round("rate_delta", 9)})
+
+
+@query(f"WITH {_LOG}, x AS (SELECT stage, doc_id, count(*) FILTER (success) / count(*) AS rate FROM log GROUP BY ALL), s AS (SELECT stage, count(*) AS n, avg(rate) AS rate FROM x GROUP BY stage) SELECT 'Stages' || chr(10) || string_agg(stage || ': ' || n || ' documents, ' || printf('%.1f', rate * 100) || ' % went well', chr(10) ORDER BY stage) AS report FROM s")
+def stage_text(spark, d):
+    return reports.as_text(reports.stage_summary(log(spark, d)))

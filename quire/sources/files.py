@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text
+from quire.operators import files
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -36,6 +37,36 @@ def layouts(spark: SparkSession, *paths: str, pattern: str = "*.json") -> DataFr
     return rows.select("doc_id", "obj_no", "o.*")
 
 
+def checked(spark: SparkSession, *paths: str, pattern: str = "*.json", fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(layout objects, files that can't be read as one: doc_id, path, error). With `fail_fast` the first such file is an error of the job."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text([*dict.fromkeys(paths)])
+    node = F.try_parse_json("value")
+    error = F.when(node.isNull(), "isn't JSON").when(~F.schema_of_variant(node).startswith("ARRAY"), "isn't a list")
+    rows = rows.select(_doc_id().alias("doc_id"), text.unquote(F.col("_metadata.file_path")).alias("path"), "value", error.alias("error"))
+    if fail_fast:
+        rows = rows.withColumn("value", F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string")))
+    good = rows.where("error IS NULL") if not fail_fast else rows
+    objects = good.select("doc_id", F.posexplode(F.from_json("value", schemas.LAYOUT_FILE, {"mode": "PERMISSIVE"})).alias("obj_no", "o")).select("doc_id", "obj_no", "o.*")
+    return objects, rows.where("error IS NOT NULL").select("doc_id", "path", "error")
+
+
+def samples(spark: SparkSession, folder: str, most: int = 5) -> list[bytes]:
+    """The first `most` images of a folder by path, for a model's examples: they go with every request, so they are few."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(folder)
+    return [bytes(r.content) for r in rows.orderBy("path").limit(most).select("content").collect()]
+
+
+def metadata(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Envelopes of the JSON files right in a folder, with what their names and the file system tell."""
+    rows = records(spark, folder, pattern)
+    return files.envelope(rows)
+
+
+def trees_by_folder(listed: DataFrame, parts: int = 3) -> DataFrame:
+    """Of listed files, those in folders whose name has at least `parts` parts between underscores."""
+    return listed.where(F.size(F.split("folder", "_")) >= parts)
+
+
 def markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """Lines of Markdown files, numbered from 0."""
     rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
