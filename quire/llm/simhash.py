@@ -1,4 +1,8 @@
-"""Operator 2, SimHash near-dedup: exact pairs within a Hamming radius by vantage-point trees, and their components. The pipeline's stage: exact pairs of shingle sets."""
+"""Operator 2, SimHash near-dedup: exact pairs within a Hamming radius by vantage-point trees, and their components.
+
+near_duplicates() links fingerprints. deduplicate(), the pipeline's stage, takes its candidates from fingerprints in the same trees
+and links what an exact comparison of shingle sets confirms.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import common
 
 EDGES = "a long, b long"
-#: The tree over shards is fitted on at most so many fingerprints, and has at most SAMPLE / 32 leaves.
-SAMPLE = 65_536
+#: The tree over shards is fitted on at most so many fingerprints (25 MB), and has at most SAMPLE / 32 leaves.
+SAMPLE = 1 << 20
+#: Similar texts (0.8 over five-word shingles) have 15 % of fingerprint bits apart: 39 of 256, deviation 6; sets of under SMALL shingles up to 48.
+WORDS, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 16, 80
+#: Keys of a text by which similar ones meet, and least hashes that make one: a pair of 0.8 shares none with a chance of (1 - 0.8^4)^24, 3 in a million.
+KEYS, ROWS = 24, 4
+#: Points of a shard that are compared without a tree, and of one that is cut.
+LEAF, CUT = 64, 1 << 15
 
 
 def hashes(text: bytes, width: int) -> list[int]:
@@ -159,20 +169,32 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 class Shard:
     """The fingerprints of one shard, a tree over them, and a union-find forest of what is linked."""
 
-    def __init__(self, nodes: np.ndarray, x: np.ndarray, logs: np.ndarray, radius: int, ratio: float | None, leaf: int = 128):
+    def __init__(self, nodes: np.ndarray, x: np.ndarray, logs: np.ndarray, radius: int, ratio: float | None, leaf: int = 128, link: bool = True):
         order = np.argsort(nodes, kind="stable")
         self.nodes, self.x, self.logs, self.radius = nodes[order], x[order], logs[order], radius
         self.tree = Tree(self.x, self.logs, leaf, radius, ratio)
         self.parent = np.arange(len(nodes))
-        home = np.zeros(len(nodes), np.int64)
-        for leaf_, rows in enumerate(self.tree.members):
-            home[rows] = leaf_
-            for a, b in self._pairs(self.x[rows], self.logs[rows], leaf_):
-                _unite(self.parent, rows[a], rows[b])
-        for leaf_, rows in self.tree.reach(self.x, self.logs, home):
-            members = self.tree.members[leaf_]
-            for a, b in self._pairs(self.x[rows], self.logs[rows], leaf_):
-                _unite(self.parent, rows[a], members[b])
+        for a, b in self.own() if link else ():
+            _unite(self.parent, a, b)
+
+    def own(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all linked pairs of its points: in each leaf, and of points with the later leaves that the bounds leave open."""
+        home = np.zeros(len(self.nodes), np.int64)
+        for leaf, rows in enumerate(self.tree.members):
+            home[rows] = leaf
+            for a, b in self._pairs(self.x[rows], self.logs[rows], leaf):
+                yield rows[a], rows[b]
+        for leaf, rows in self.tree.reach(self.x, self.logs, home):
+            members = self.tree.members[leaf]
+            for a, b in self._pairs(self.x[rows], self.logs[rows], leaf):
+                yield rows[a], members[b]
+
+    def near(self, x: np.ndarray, logs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (in x, in the shard) of all linked pairs with other points."""
+        for leaf, rows in self.tree.reach(x, logs, np.full(len(x), -1)):
+            members = self.tree.members[leaf]
+            for a, b in self._pairs(x[rows], logs[rows], leaf):
+                yield rows[a], members[b]
 
     def _pairs(self, x: np.ndarray, logs: np.ndarray, leaf: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (in x, in the leaf) of all linked pairs, in blocks."""
@@ -294,62 +316,201 @@ def near_duplicates(docs: DataFrame, width: int = 5, words: int = 4, radius: int
     spark, f = docs.sparkSession, names(words)
     prints = common.save(fingerprints(docs, width, words, distinct), "simhash")
     key = [*f, *(["size"] if ratio is not None else [])]
-    points = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), *([] if ratio is not None else [F.lit(0).cast("long").alias("size")]))
-    points = common.save(points.select("node", "size", *f), "simhash-points")
-    alone = points.where("node IS NOT NULL")
+    points = prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *([] if ratio is not None else [F.lit(0).cast("long").alias("size")]))
+    points = common.save(points.select("node", "size", *f, "copies"), "simhash-points")
+    alone = points.where("node IS NOT NULL").drop("copies")
     n = alone.count()
-    sample = _columns(_batch(alone.orderBy(F.xxhash64("node")).limit(SAMPLE if n > 64 * shard else 8192), words), words)
+    sample = _columns(_batch(alone.orderBy(F.xxhash64("node")).limit(min(SAMPLE, max(8192, 32 * -(-n // shard)))), words), words)
     tree = Tree(sample[1], sample[2], max(32, -(-len(sample[0]) * shard // max(n, 1))), radius, ratio)
     tree.members = [()] * len(tree.members)  # the sample itself isn't sent
     dealt = alone.mapInArrow(_route(tree, words), "shard long, asks int, node long, size long, " + ", ".join(f"{x} long" for x in f))
     dealt = dealt.repartition(max(common.partitions(spark), len(tree.members)), "shard").sortWithinPartitions("shard", "asks", "node")
     roots = common.min_labels(dealt.mapInArrow(_link(words, radius, ratio), EDGES), "simhash-links")
-    labels = points.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
-    return prints.join(labels, key).select("doc_id", "size", *f, "component_id")
+    labels = points.join(roots, "node", "left").select(*key, "copies", F.coalesce("root", "node").alias("component_id"))
+    return common.looked_up(prints, common.save(labels, "simhash-labels"), key, "copies").select("doc_id", "size", *f, "component_id")
+
+
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, KEYS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several of about SAMPLE / 8 documents have, from rare to common, at most 2 * SAMPLE of them."""
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """KEYS hashes of a set h, each of its least values under ROWS orders: two sets share one with the ROWS-th power of their similarity."""
+    least = np.full(KEYS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[None, at : at + 1024] * _ODD[:, None]).min(1), out=least)
+    mixed = common.mixed(least + np.arange(KEYS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return common.mixed(mixed.reshape(KEYS, ROWS).sum(1, dtype=np.uint64))
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, pid (a hash of the shingle set), n, fingerprint and keys of docs(doc_id, text), whole texts. Sets of under four can only be similar if equal, so they have no keys."""
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
-            for text in common.text_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(hashes(text, width), np.uint64)).view(np.int64))], ["item"])
+            pids, sizes, keys, prints = [], [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
+            for i, text in enumerate(common.text_bytes(batch.column("text"))):
+                h = np.unique(np.array(hashes(text, width), np.uint64))
+                pids.append(xxh64_intdigest(h.tobytes(), 42))
+                sizes.append(len(h))
+                prints[i] = fingerprint(h, WORDS)
+                keys.append(keys_of(h).view(np.int64) if len(h) > 3 else [])
+            columns = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WORDS)]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(pids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *columns, pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pid", "n", *names(WORDS), "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, pid long, n int, " + ", ".join(f"{x} long" for x in names(WORDS)) + ", keys array<long>")
+
+
+class Points:
+    """Rows of a batch: shard (numbered), whether they ask, pid, root, n and fingerprint."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.key, self.block, self.asks, self.pid, self.root, self.n, self.x = columns
+
+    def __getitem__(self, some) -> Points:
+        return Points([c[some] for c in self.columns])
+
+    def __len__(self) -> int:
+        return len(self.pid)
 
-    every = max(1, docs.count() // (SAMPLE // 8))
-    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n"))
-    most = counts.where("n > 1").orderBy(F.desc("n"), "item").limit(2 * SAMPLE).select("item").toArrow()
-    return most.column("item").to_numpy()[::-1].copy()
+    def __add__(self, other: Points) -> Points:
+        return Points([np.concatenate(c) for c in zip(self.columns, other.columns, strict=True)])
 
 
-def shingle_sets(docs: DataFrame, width: int, last: np.ndarray) -> DataFrame:
-    """doc_id, pid (a hash of the set) and items, the different shingles of docs(doc_id, text): those of `last` last and in its order, the others by value."""
+def _close(p: Points, a: np.ndarray, q: Points, b: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of places (a in p, b in q), those of near fingerprints and sizes, and if `apart` of different roots."""
+    low, high = np.minimum(p.n[a], q.n[b]), np.maximum(p.n[a], q.n[b])
+    some = (p.pid[a] != q.pid[b]) & (5 * low >= 4 * high)
+    if apart:
+        some &= p.root[a] != q.root[b]
+    a, b, low = a[some], b[some], low[some]
+    near = np.bitwise_count(p.x[a] ^ q.x[b]).sum(1, dtype=np.int32) <= np.where(low < SMALL, SMALL_RADIUS, RADIUS)
+    return p.pid[a[near]], q.pid[b[near]]
+
+
+def _small(p: Points, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of shards of at most LEAF points: neighbours by size, and each with its shard's first; or all whose roots differ."""
+    shard = np.cumsum(np.concatenate([[0], (p.key[1:] != p.key[:-1]) | (p.block[1:] != p.block[:-1])])) if len(p) else np.zeros(0, np.int64)
+    at = np.arange(len(p))
+    for step in range(1, 2 if first else LEAF):
+        some = at[:-step][shard[step:] == shard[:-step]]
+        if not len(some):
+            break
+        yield _close(p, some, p, some + step, not first)
+    if first:
+        start = np.searchsorted(shard, shard)
+        yield _close(p, start, p, at, False)
+
+
+def _large(own: Points, asks: Points, first: bool, cut: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large shard by a vantage-point tree: a spanning forest of near points; or all near ones whose roots differ.
+
+    Where a shard is a part of a larger one (`cut`), pairs of roots that differ are those of its points with the points that ask it.
+    """
+    radius = SMALL_RADIUS if min(own.n.min(), asks.n.min() if len(asks) else SMALL) < SMALL else RADIUS
+    shard = Shard(np.arange(len(own)), own.x, np.log(own.n), radius, 0.8, link=first)
+    if first:
+        yield _close(own, np.arange(len(own) - 1), own, np.arange(1, len(own)), False)
+        yield _close(own, *[shard.forest()[0]], own, shard.forest()[1], False)
+        near = shard.near(asks.x, np.log(asks.n))
+        yield from (_close(asks, a, own, b, False) for a, b in near)
+    else:
+        if not cut:
+            yield from (_close(own, a, own, b, True) for a, b in shard.own())
+        yield from (_close(asks, a, own, b, True) for a, b in shard.near(asks.x, np.log(asks.n)))
+
+
+def _pairs(first: bool):
+    """Candidate pairs of rows sorted by shard, a shard's own points before those that ask it; a shard is held until it is whole."""
+
+    def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        pairs = np.unique(np.stack([low, high], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+    def large(p: Points) -> Iterator[pa.RecordBatch]:
+        asks = p.asks == 1
+        if not asks.all():
+            for a, b in _large(p[~asks], p[asks], first, bool(p.block[0] >= 0)):
+                if len(a):
+                    yield emit(a, b)
+
+    def done(p: Points) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero((p.key[1:] != p.key[:-1]) | (p.block[1:] != p.block[:-1])) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(p)]])
+        big = (ends - starts > LEAF) | (p.block[starts] >= 0)
+        for at, end in zip(starts[big].tolist(), ends[big].tolist(), strict=True):
+            yield from large(p[at:end])
+        for a, b in _small(p[np.repeat(~big, ends - starts)], first):
+            if len(a):
+                yield emit(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda name, batch=batch: batch.column(name).to_numpy(zero_copy_only=False)
+            now = Points([*[get(c) for c in ("key", "block", "asks", "pid", "root", "n")], np.ascontiguousarray(np.stack([get(f) for f in names(WORDS)], 1)).view(np.uint64)])
+            held = now if held is None else held + now
+            last = np.flatnonzero((held.key[1:] != held.key[:-1]) | (held.block[1:] != held.block[:-1]))
+            if len(last):
+                yield from done(held[: last[-1] + 1])
+                held = held[last[-1] + 1 :]
+        if held is not None:
+            yield from done(held)
 
-        place = np.argsort(last)
-        known = last[place]
+    return run
+
+
+def candidates(heads: DataFrame, points: DataFrame, first: bool) -> DataFrame:
+    """(a, b) of pids that share a key of heads(key, pid) and have near fingerprints; points(pid, root, n, f0, ...).
+
+    A first round takes a few pairs of each shard that are likely to unite it, a second one all pairs whose roots differ. A key that
+    more than CUT points have is cut into shards of about that size: in the first round all get the least point, in the second
+    the points that don't belong to the key's most frequent root ask all shards, and each of its points lies in one.
+    """
+    rows = heads.join(points, "pid")
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct("n", "pid")).alias("least"))
+    counts = counts.groupBy("key").agg(F.sum("m").alias("k"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"), F.min("least").alias("least"))
+    some = common.save(counts.where("roots > 1" if not first else "k > 1").where(f"k > {CUT}" if first else "true"), "near-keys")
+    kept = ["key", "block", "asks", "pid", "root", "n", *names(WORDS)]
+    if not first:  # few keys are still open
+        rows = rows.join(common.bounded(some.select("key")), "key", "left_semi")
+    cut = some.where(f"k > {CUT}")
+    whole = rows.withColumns({"block": F.lit(-1), "asks": F.lit(0)})
+    if not cut.isEmpty():
+        cut = cut.withColumn("blocks", F.ceil(F.col("k") / CUT).cast("int"))
+        both = rows.join(F.broadcast(cut), "key")  # each has over CUT rows
+        whole = rows.join(F.broadcast(cut.select("key")), "key", "left_anti").withColumns({"block": F.lit(-1), "asks": F.lit(0)})
+        own = both.withColumns({"block": F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"), "asks": F.lit(0)})
+        asking = both.where(F.col("pid") == F.col("least.pid")) if first else both.where("root <> main")
+        asking = asking.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(1)})
+        whole = whole.select(kept).unionByName(own.select(kept)).unionByName(asking.select(kept))
+    dealt = whole.select(kept).repartition(common.partitions(heads.sparkSession), "key", "block").sortWithinPartitions("key", "block", "asks", "n", "pid")
+    return dealt.mapInArrow(common.lean(_pairs(first)), EDGES).distinct()
+
+
+def similar(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Those of pairs(a, b) of pids whose shingle sets have a Jaccard similarity of 0.8 or more, exactly: 9 * shared >= 4 * (sum of sizes).
+
+    Only texts that stand for a pid of a pair are read again, and pids of points(pid, node) name them by doc_id.
+    """
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
-            sets, pids = [], []
-            for text in common.text_bytes(batch.column("text")):
-                x = np.unique(np.array(hashes(text, width), np.uint64)).view(np.int64)
-                pids.append(xxh64_intdigest(x.tobytes(), 42))
-                if len(known) and len(x):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    x = x[np.lexsort((x, np.where(known[at] == x, place[at] + 1, 0)))]
-                sets.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(pids, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "pid", "items"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pid long, items array<long>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) of pids whose sets have a Jaccard similarity of 0.8 or more, exactly: 9 * shared >= 4 * (sum of sizes)."""
-    pairs = common.save(pairs, "near-pairs")
-    asked = common.save(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct(), "near-asked")
-    held = common.save(sets.join(common.bounded(asked), "pid", "left_semi").dropDuplicates(["pid"]), "near-sets")
-    left, right = (held.select(F.col("pid").alias(x), F.col("items").alias(f"{x}s")) for x in "ab")
+            sets = [np.unique(np.array(hashes(t, width), np.uint64)) for t in common.text_bytes(batch.column("text"))]
+            pids = np.array([xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["pid", "items"])
+
+    asked = common.save(pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct().join(points.select("pid", "node"), "pid"), "near-asked")
+    texts = docs.join(common.bounded(asked.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(common.lean(run), "pid long, items array<long>").join(common.bounded(asked.select("pid")), "pid", "left_semi").dropDuplicates(["pid"])
+    sets = common.save(sets, "near-sets")
+    left, right = (sets.select(F.col("pid").alias(x), F.col("items").alias(f"{x}s")) for x in "ab")
     close = 9 * F.size(F.array_intersect("as", "bs")) >= 4 * (F.size("as") + F.size("bs"))
     return common.save(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "near-links")
 
@@ -357,34 +518,28 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """(node, root) of docs(doc_id, text): each doc_id that links of 0.8 Jaccard similarity or more over its shingles reach, and the smallest such.
 
-    No pair is missed and none is taken below 0.8, but for clashes of 64-bit hashes. Sets of n shingles in one order can only be that
-    similar if they share one of their first n - ceil(0.8 n) + 1, so only these are grouped; the order puts shingles that a sample
-    finds common last, which keeps groups small and changes no result. A first round compares neighbours by size in each group, a second one all pairs of a group that
-    the sizes and places leave open and the first round did not unite; so a large group of near copies makes few pairs.
-
-    Equal sets are one point; texts without words are equal. Rows of one doc_id are one document; those without one are left out.
+    Equal shingle sets are one point. At this similarity no vantage point prunes anything (distances of different texts are 128 +- 8
+    of 256 bits, the radius is 64), so points are dealt to shards by keys that similar texts nearly surely share, and a tree has one
+    shard's points. Fingerprints give candidates; a pair is taken if its sets, compared exactly, are similar, so none is taken below
+    0.8, but for clashes of 64-bit hashes. Of pairs of 0.8, about 3 in a million share no key, and fewer than 1 in 10,000 lie outside
+    the radius. A first round unites most of each shard by few pairs, a second takes all pairs that it left open, so a large group of
+    near copies makes few. Texts without words are equal. Rows of one doc_id are one document; those without one are left out.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sets = common.save(shingle_sets(rows, width, common_shingles(rows, width)), "near-shingles")
-    n = F.size("items")
-    heads = sets.select("pid", n.alias("n"), F.posexplode(F.slice("items", 1, n - F.ceil(n * 4 / 5).cast("int") + 1)).alias("at", "item")).where("n > 0")
-    group = Window.partitionBy("item")
-    heads = heads.withColumn("next", F.lead("pid").over(group.orderBy("n", "pid"))).withColumn("next_n", F.lead("n").over(group.orderBy("n", "pid")))
-    heads = heads.withColumn("several", F.min("pid").over(group) != F.max("pid").over(group))
-    heads = common.save(heads.where("several").drop("several"), "near-heads")
-    close = heads.where("pid <> next AND 5 * n >= 4 * next_n")
-    first = _similar(close.select(F.least("pid", "next").alias("a"), F.greatest("pid", "next").alias("b")).distinct(), sets)
+    each = common.save(described(rows, width), "near-points")
+    f = names(WORDS)
+    points = each.groupBy("pid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in f])
+    points = common.save(points, "near-sets-once")
+    heads = each.select("pid", F.explode("keys").alias("key"))
+    shared = heads.groupBy("key").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).where("low < high").select("key")
+    heads = common.save(heads.join(shared, "key").distinct(), "near-keys-shared")
+    first = similar(common.save(candidates(heads, points.withColumn("root", F.col("pid")), True), "near-pairs"), points, rows, width)
     roots = common.save(common.min_labels(first, "near-first"), "near-roots").select(F.col("node").alias("pid"), "root")
-    open_ = heads.select("item", "pid", "n", "at").join(common.bounded(roots), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
-    open_ = common.save(open_.withColumn("several", F.min("root").over(group) != F.max("root").over(group)).where("several"), "near-open")
-    other = open_.select("item", *[F.col(x).alias(f"{x}_") for x in ("pid", "n", "at", "root")])
-    # of the shingles from this one on, at least 0.8 of the union must be shared: holds at the first shared one of a similar pair
-    able = "pid < pid_ AND root <> root_ AND 5 * least(n, n_) >= 4 * greatest(n, n_) AND 9 * least(n - at, n_ - at_) >= 4 * (n + n_)"
-    second = _similar(open_.join(other, "item").where(able).select(F.col("pid").alias("a"), F.col("pid_").alias("b")).distinct(), sets)
-    points = common.save(sets.groupBy("pid").agg(F.min("doc_id").alias("point")), "near-points")
-    left, right = (points.select(F.col("pid").alias(x), F.col("point").alias(f"{x}_")) for x in "ab")
+    united = common.save(points.join(common.bounded(roots), "pid", "left").withColumn("root", F.coalesce("root", "pid")), "near-united")
+    second = similar(common.save(candidates(heads, united, False), "near-pairs"), points, rows, width)
+    left, right = (points.select(F.col("pid").alias(x), F.col("node").alias(f"{x}_")) for x in "ab")
     links = first.union(second).join(left, "a").join(right, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-    equal = sets.select("doc_id", "pid").join(points, "pid").where("doc_id <> point").select(F.col("doc_id").alias("a"), F.col("point").alias("b"))
+    equal = each.select("doc_id", "pid").join(common.bounded(points.select("pid", "node")), "pid").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     return common.min_labels(links.union(equal), "near-labels")
 
 

@@ -140,7 +140,9 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
-def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain):
+@pytest.mark.parametrize("cut", [1 << 15, 7])
+def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain, cut, monkeypatch):
+    monkeypatch.setattr(simhash, "CUT", cut)  # keys that more points have are cut into shards
     rng = np.random.default_rng(7)
     texts = [(i, t) for i, t in plain]
     at = 1 + max(i for i, _ in texts)
@@ -153,6 +155,13 @@ def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain):
         texts += [(at, " ".join(base)), (at + 1, " ".join(other))]
         at += 2
     texts += [(at + i, " ".join(f"g{x}" for x in range(3 * i, 3 * i + 90))) for i in range(20)]  # a chain
+    at += 20
+    base = [f"h{x}" for x in rng.integers(0, 9000, 120)]
+    for i in range(90):  # a group of near copies, similar to the first, not all to each other; over LEAF, so a tree has them
+        other = list(base)
+        for k in rng.integers(0, 120, 3):
+            other[k] = f"other{i}"
+        texts.append((at + i, " ".join(other)))
     odd_texts = [(i, t) for i, t in ODD] + [(i, t) for i, t in ODD[:3]]
 
     def sets(text):
@@ -176,6 +185,21 @@ def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain):
     assert simhash.deduplicate(odd).where("doc_id IS NULL").count() == 2
 
 
+def test_candidates_miss_few_pairs_of_four_fifths():
+    """Rates over random sets of one similarity: keys in common, and fingerprints within the radius."""
+    rng = np.random.default_rng(11)
+    for n, shared in [(5, 4), (10, 9), (24, 21), (27, 24), (135, 120), (450, 400)]:  # sizes n and n, or n and n - 1
+        met = near = 0
+        for _ in range(400):
+            x = rng.integers(0, 1 << 63, 2 * n, np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * n, np.uint64)
+            a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:shared], x[n : n + (n - shared if n > 5 else 0)]]))
+            assert shared / (len(a) + len(b) - shared) >= 0.77
+            met += bool(set(simhash.keys_of(a).tolist()) & set(simhash.keys_of(b).tolist()))
+            apart = int(np.bitwise_count(simhash.fingerprint(a, 4) ^ simhash.fingerprint(b, 4)).sum())
+            near += apart <= (simhash.SMALL_RADIUS if min(len(a), len(b)) < simhash.SMALL else simhash.RADIUS)
+        assert met >= 399 and near >= 396, (n, met, near)
+
+
 def test_rans(spark, docs, odd, plain, ids, tmp_path):
     tokens_ = [[*x, 1] for x in ids([t for _, t in plain])]
     path = tokens.vocabulary_path()
