@@ -21,11 +21,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: This process's folder in the shared one, and the tables it has there.
+_OWN, _saved = uuid.uuid4().hex, []
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one of our own only where that is unset (one machine)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one of our own only where that is unset, on one machine. What is left of our tables is deleted when the driver's process ends."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # workers import this package, from wherever the driver runs
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -35,11 +41,26 @@ def scratch(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and return its reader: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/quire/{_OWN}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _saved:
+        atexit.register(sweep, spark)
+    _saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the tables saved so far, but those that `but` reads: only where no other DataFrame made of them is still wanted."""
+    kept = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
+    for path in [p for p in _saved if p.rsplit("/", 1)[-1] not in kept]:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  at the process's end the JVM may be gone already
+            return
+        _saved.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps; it acts on what the JVM's collector finds unreachable."""
     gc.collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -12,29 +13,15 @@ from quire.llm import common
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Openings and notices of widespread licences, and the usual declarations.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Licensed under the MIT License"),
-    ("mit", "SPDX License Identifier MIT"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "SPDX License Identifier Apache 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
-    ("gpl", "licensed under the GNU General Public License"),
-    ("gpl", "SPDX License Identifier GPL 3.0 only"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("bsd", "Released under the BSD License"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc", "Licensed under CC BY 4.0"),
-    ("cc", "Licensed under CC BY SA 4.0"),
-    ("cc", "Licensed under CC BY NC 4.0"),
-]
+
+
+def _templates() -> list[tuple[str, str]]:
+    """(label, text) of the templates, which lie beside this module as data."""
+    parts = resources.files("quire.llm").joinpath("licence_templates.txt").read_text(encoding="utf-8").split("\n== ")[1:]
+    return [(label.strip(), body.strip()) for label, body in (part.split("\n", 1) for part in parts)]
+
+
+TEMPLATES = _templates()
 #: Words of a match that counts, words that two matches of a chain may lie apart, what a chain must cover, and words that always suffice.
 LEAST, GAP, COVER, ENOUGH = 4, 12, 0.8, 20
 #: To lower-case A-Z and blank all ASCII that is no letter or digit.

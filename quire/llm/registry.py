@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.ORACLE}
+    return {"op5_exact_dedup": exact.ORACLE, "op10_repeats": repeats.ORACLE}

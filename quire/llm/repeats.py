@@ -228,3 +228,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(common.documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM windows JOIN firsts USING (w) WHERE first < doc_id)),
+places AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split),
+cut AS (SELECT p.doc_id, count(g.place) AS n_removed, string_agg(word, ' ' ORDER BY p.place) FILTER (g.place IS NULL) AS kept FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place GROUP BY p.doc_id)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split s LEFT JOIN cut ON cut.doc_id = s.doc_id
+"""

@@ -452,6 +452,11 @@ def test_licences(spark, docs, odd, plain):
     mit = licences.TEMPLATES[0][1]
     assert scanner.scan(mit.encode())[5] == "mit" and scanner.scan(f"x {mit.replace('free of charge', 'for nothing')} y".encode())[7][0]["first"] == 1
     assert scanner.scan(b"the rights to use the software and of the license")[5] == ""
+    of = lambda label: next(t for x, t in licences.TEMPLATES if x == label and len(t) > 120)
+    for label in ("apache", "gpl", "agpl", "lgpl", "bsd", "bsd-3", "isc", "zlib", "epl", "cc0", "unlicense", "boost", "mpl"):
+        first = scanner.scan(f"some words before {of(label)} and behind".encode())
+        assert label in first[5].split(",") and any(x["label"] == label and x["first"] == 3 and x["covered"] == 1 for x in first[7]), label
+    assert "bsd-3" not in scanner.scan(of("bsd").encode())[5].split(",")
     assert licences.scan(odd).count() == odd.count() and licences.scan(odd.limit(0)).count() == 0
 
 
