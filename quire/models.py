@@ -31,6 +31,10 @@ class PageRenderer(Protocol):
     def render(self, pdf: bytes, page: int, scale: float) -> bytes: ...
 
 
+class PageCutter(Protocol):
+    def cut(self, pdf: bytes, pages: list[int]) -> bytes: ...
+
+
 class TooManyRequests(Exception):
     """A client's word that it was asked too often; `wait` is in seconds."""
 
@@ -73,6 +77,9 @@ class OfflineClient:
     def render(self, pdf: bytes, page: int, scale: float) -> bytes:
         return f"{len(pdf)}:{page}:{scale:g}".encode()
 
+    def cut(self, pdf: bytes, pages: list[int]) -> bytes:
+        return pdf + f" without {pages}".encode()
+
     def choose(self, title: str, candidates: list[str]) -> str:
         return f"选择：{candidates[0]}" if candidates else ""
 

@@ -63,7 +63,8 @@ def envelope(files: DataFrame) -> DataFrame:
     form = F.when(kind.startswith("OBJECT") & has("$.metadata"), "existing").when(kind.startswith("OBJECT") & has("$.pages"), "pages").when(kind.startswith("ARRAY") & has("$[0].data_type"), "blocks").otherwise("raw")
     rows = rows.withColumn("form", form)
     old = F.from_json(F.to_json(F.expr("try_variant_get(node, '$.metadata', 'variant')")), "map<string,string>")
-    new = F.from_json(F.to_json(file_metadata(F.col("path"))), "map<string,string>")
+    known = {"size": "size", "modified": "modified", "now": "now"}  # where files has them
+    new = F.from_json(F.to_json(file_metadata(F.col("path"), **{k: F.col(c) for k, c in known.items() if c in files.columns})), "map<string,string>")
     empty = F.expr("cast(map() as map<string,string>)")
     kept = F.map_filter(F.coalesce(old, empty), lambda k, _: ~F.array_contains(F.map_keys(new), k))
     content = F.to_json(F.when(F.col("form").isin("existing", "pages") & has("$.pages"), F.expr("try_variant_get(node, '$.pages', 'variant')")).otherwise(F.col("node")))

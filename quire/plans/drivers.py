@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import importable
 from quire.functions import replies, text
-from quire.models import ModelClient, OcrProvider, OfflineClient, PageRenderer
+from quire.models import ModelClient, OcrProvider, OfflineClient, PageCutter, PageRenderer
 from quire.operators import reports, titles
 from quire.plans import pipeline
 
@@ -96,6 +96,20 @@ def page_images(pages: DataFrame, renderer: PageRenderer, scale: float = 3.0) ->
     return rows.select("doc_id", "page_num", "image")
 
 
+def text_lengths(images: DataFrame, provider: OcrProvider) -> DataFrame:
+    """path and text_length of images(path, content), as pipeline.preprocess() takes them: characters read, blanks at the ends not counted."""
+    read = asked(images.select("path", "content"), ["content"], lambda content: provider.text(bytes(content)), "text")
+    return read.select("path", F.length(text.strip(F.coalesce("text", F.lit("")))).alias("text_length"))
+
+
+def without_pages(pdfs: DataFrame, pages: DataFrame, cutter: PageCutter) -> DataFrame:
+    """pdfs(doc_id, content), the pages(doc_id, page_num) cut out of those that have any."""
+    gone = pages.groupBy("doc_id").agg(F.array_sort(F.collect_set("page_num")).alias("gone"))
+    rows = pdfs.join(gone, "doc_id", "left")
+    cut = asked(rows.where("gone IS NOT NULL"), ["content", "gone"], lambda content, gone: cutter.cut(bytes(content), [int(x) for x in gone]), "less", "binary")
+    return rows.where("gone IS NULL").select(pdfs.columns).unionByName(cut.withColumn("content", F.col("less")).select(pdfs.columns))
+
+
 def structure(rows: DataFrame, found: DataFrame, config: pipeline.Structure = pipeline.Structure(), client: ModelClient | None = None) -> tuple[DataFrame, DataFrame]:
     """pipeline.structure() for replies found(doc_id, reply), missing titles placed by the model if config has use_llm_matching.
 

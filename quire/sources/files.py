@@ -91,6 +91,6 @@ def bracketed(lines: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """path and json of whole files."""
+    """path, json, size and modified of whole files."""
     rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
-    return rows.select(text.unquote(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("json"))
+    return rows.select(text.unquote(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("json"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))

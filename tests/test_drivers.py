@@ -6,6 +6,7 @@ import time
 
 import pytest
 
+import quire
 from quire import models
 from quire.operators import annotate, titles
 from quire.plans import drivers, pipeline
@@ -111,3 +112,25 @@ def test_figures_in_a_row_are_one(spark):
     rows = [(1, 0, 0, i, k, f"t{i}") for i, k in enumerate(["组合图", "组合图", None, "组合图", "统计图"])]
     found = annotate.figure_tags(spark.createDataFrame(rows, "doc_id int, page_idx int, item int, pos int, kind string, data_type string"))
     assert sorted((r["first"], r.n, r.tag) for r in found.collect()) == [(0, 2, "t0+t1"), (3, 1, "t3")]
+
+
+def test_files_tell_their_size(spark, tmp_path):
+    (tmp_path / "300497.SZ-富祥药业-2024年度报告.json").write_text('{"pages":[1]}')
+    row = files.metadata(spark, str(tmp_path)).first()
+    assert row.form == "pages" and row.metadata["company_name"] == "富祥药业" and row.metadata["file_size_bytes"] == "13" and row.metadata["file_modified_time"]
+
+
+def test_quick_forms(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"type":"text","page_idx":0,"text":"A","text_level":1},{"type":"text","page_idx":0,"text":"x"}]')
+    lines = quire.preprocess(spark, str(tmp_path), add_page_markers=False)
+    assert "# A" in [r.line for r in lines.collect()]
+    rows, _ = quire.structure(lines, spark.createDataFrame([("a", "### 最终输出结果\nA\n    B")], "doc_id string, reply string"))
+    assert "## B" in [r.line for r in rows.collect()]
+
+
+def test_images_and_pages_go_through_providers(spark):
+    images = spark.createDataFrame([("p", b" abc "), ("q", b"")], "path string, content binary")
+    assert {r.path: r.text_length for r in drivers.text_lengths(images, models.OfflineClient()).collect()} == {"p": 3, "q": 0}
+    pdfs = spark.createDataFrame([(1, b"a"), (2, b"b")], "doc_id int, content binary")
+    cut = drivers.without_pages(pdfs, spark.createDataFrame([(1, 3), (1, 2), (1, 3)], "doc_id int, page_num int"), models.OfflineClient())
+    assert {r.doc_id: bytes(r.content) for r in cut.collect()} == {1: b"a without [2, 3]", 2: b"b"}
