@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most: texts may be long, and both sides hold a batch.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: This process's folder in the shared one, and the tables it has there.
 _OWN, _saved = uuid.uuid4().hex, []
 
@@ -28,6 +30,10 @@ _OWN, _saved = uuid.uuid4().hex, []
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one of our own only where that is unset, on one machine. What is left of our tables is deleted when the driver's process ends."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # workers import this package, from wherever the driver runs
+    for name, most in ARROW.items():
+        now = spark.conf.get(name, "").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
         if not spark.sparkContext.master.startswith("local"):
