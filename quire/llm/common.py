@@ -31,7 +31,7 @@ def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one of our own only where that is unset, on one machine. What is left of our tables is deleted when the driver's process ends."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # workers import this package, from wherever the driver runs
     for name, most in ARROW.items():
-        now = spark.conf.get(name, "").rstrip("b")
+        now = spark.conf.get(name).rstrip("b")
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(name, str(most))
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
