@@ -22,7 +22,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 #: Rows and bytes of a batch that goes to a Python worker, at most: texts may be long, and both sides hold a batch.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: This process's folder in the shared one, and the tables it has there.
 _OWN, _saved = uuid.uuid4().hex, []
 
@@ -93,10 +93,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(at, rows)
 
 
+#: What worker processes keep from task to task, as a memory of words.
+CACHES: list[dict] = []
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of mapInArrow that, when its task ends, gives the memory of its batches and tables back: workers are used again by later stages."""
+    """A function of mapInArrow that first drops what tasks of other stages kept, and gives the memory of its own batches and tables back when its task ends: workers are used again."""
 
     def leanly(batches: Iterator) -> Iterator:
+        for cache in CACHES:
+            cache.clear()
         try:
             yield from run(batches)
         finally:

@@ -49,11 +49,11 @@ def _first_bin(round_: int) -> int:
     return (round_ << ROUND) + (TaskContext.get().partitionId() << COUNTER)
 
 
-def _local(path: str, capacity: int, end_id: int, items: int):
+def _local(path: str, capacity: int, end_id: int, items: int, words: int):
     """Tokenise a partition, cut what is longer than a bin, and pack chunks of at most `items` pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, base, held = tokenizer(path).encode, end_id.to_bytes(4, "little"), _first_bin(0), []
+        encode, end, base, held = tokenizer(path, words).encode, end_id.to_bytes(4, "little"), _first_bin(0), []
 
         def flush() -> pa.RecordBatch:
             nonlocal base, held
@@ -64,7 +64,7 @@ def _local(path: str, capacity: int, end_id: int, items: int):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "bin_offset", "bin_used"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for batch in common.small_batches(batches):
+        for batch in common.small_batches(batches, 1024):
             ids = encode(common.text_bytes(batch.column("text")))
             for doc_id, code in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 code += end
@@ -102,12 +102,13 @@ def _merge(capacity: int, round_: int, items: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, slack: int | None = None, fan_in: int = 8, items: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, slack: int | None = None, fan_in: int = 8, items: int = 200_000, words: int = 1_000_000) -> DataFrame:
     """Pack every document of docs(doc_id, text) into sequences of at most `capacity` tokens.
 
     Each input partition packs its own pieces best-fit. Bins with at most `slack` tokens free (capacity / 128) are emitted; the
     others become items of the next round, in which `fan_in` partitions' bins meet in one, until they all met or a round no
-    longer saves any. A task holds `items` items at once, so memory is bounded however many bins stay underfull.
+    longer saves any. A task holds `items` items at once, so memory is bounded however many bins stay underfull; a worker remembers
+    the tokens of up to `words` words.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is empty; an empty text
     has one piece, its end id. Repeated rows are packed once each; a null doc_id stays null. An empty table gives no rows. Other
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, slac
     """
     spark = docs.sparkSession
     slack = capacity // 128 if slack is None else slack
-    local = common.save(docs.select("doc_id", "text").mapInArrow(_local(path, capacity, end_id, items), PIECES), "pack")
+    local = common.save(docs.select("doc_id", "text").mapInArrow(_local(path, capacity, end_id, items, words), PIECES), "pack")
     groups = local.agg(F.max(F.shiftright("bin", COUNTER))).first()[0]
     underfull = F.col("bin_used") < capacity - slack
     left = local.where(underfull & (F.col("bin_offset") == 0)).select("bin", "bin_used")

@@ -141,7 +141,7 @@ class Coder:
 def _tokenise(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path).encode, end_id.to_bytes(4, "little")
-        for batch in common.small_batches(batches):
+        for batch in common.small_batches(batches, 1024):
             ids = [np.frombuffer(x + end, "<u4") for x in encode(common.text_bytes(batch.column("text")))]
             data = pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), data], ["doc_id", "ids"])

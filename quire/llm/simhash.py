@@ -24,6 +24,8 @@ WORDS, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 16, 80
 KEYS, ROWS = 24, 4
 #: Points of a shard that are compared without a tree, and of one that is cut.
 LEAF, CUT = 64, 1 << 15
+#: Compared pairs of the first round from which on a text is a hub.
+HUB = 64
 
 
 def hashes(text: bytes, width: int) -> list[int]:
@@ -363,11 +365,11 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 
 class Points:
-    """Rows of a batch: shard (numbered), whether they ask, pid, root, n and fingerprint."""
+    """Rows of a batch: shard, whether they ask, pid, root, n, hub and shingles shared with it, and fingerprint."""
 
     def __init__(self, columns: list[np.ndarray]):
         self.columns = columns
-        self.key, self.block, self.asks, self.pid, self.root, self.n, self.x = columns
+        self.key, self.block, self.asks, self.pid, self.root, self.n, self.hub, self.shared, self.x = columns
 
     def __getitem__(self, some) -> Points:
         return Points([c[some] for c in self.columns])
@@ -380,11 +382,15 @@ class Points:
 
 
 def _close(p: Points, a: np.ndarray, q: Points, b: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of places (a in p, b in q), those of near fingerprints and sizes, and if `apart` of different roots."""
+    """Of pairs of places (a in p, b in q), those of near fingerprints and sizes, and if `apart` of different roots.
+
+    Of two texts with one hub that share too little with it, beyond() has the pairs, so they are left out.
+    """
     low, high = np.minimum(p.n[a], q.n[b]), np.maximum(p.n[a], q.n[b])
     some = (p.pid[a] != q.pid[b]) & (5 * low >= 4 * high)
     if apart:
         some &= p.root[a] != q.root[b]
+        some &= (p.hub[a] != q.hub[b]) | (p.shared[a] < 0) | (9 * np.minimum(p.shared[a], q.shared[b]) >= 4 * (low + high))
     a, b, low = a[some], b[some], low[some]
     near = np.bitwise_count(p.x[a] ^ q.x[b]).sum(1, dtype=np.int32) <= np.where(low < SMALL, SMALL_RADIUS, RADIUS)
     return p.pid[a[near]], q.pid[b[near]]
@@ -405,21 +411,28 @@ def _small(p: Points, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _large(own: Points, asks: Points, first: bool, cut: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a large shard by a vantage-point tree: a spanning forest of near points; or all near ones whose roots differ.
+    """Pairs of a large shard: neighbours by size, and all with one in the middle; or, by a vantage-point tree, all near ones whose roots differ.
 
     Where a shard is a part of a larger one (`cut`), pairs of roots that differ are those of its points with the points that ask it.
     """
-    radius = SMALL_RADIUS if min(own.n.min(), asks.n.min() if len(asks) else SMALL) < SMALL else RADIUS
-    shard = Shard(np.arange(len(own)), own.x, np.log(own.n), radius, 0.8, link=first)
-    if first:
+    if first:  # near all of a group of near copies lie around one text: that nearest to what most bits say
+        bits = np.unpackbits(own.x.view(np.uint8), axis=1)
+        middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own)).view(np.uint64)
+        hub = np.full(1, int(np.bitwise_count(own.x ^ middle).sum(1).argmin()))
         yield _close(own, np.arange(len(own) - 1), own, np.arange(1, len(own)), False)
-        yield _close(own, *[shard.forest()[0]], own, shard.forest()[1], False)
-        near = shard.near(asks.x, np.log(asks.n))
-        yield from (_close(asks, a, own, b, False) for a, b in near)
-    else:
-        if not cut:
-            yield from (_close(own, a, own, b, True) for a, b in shard.own())
-        yield from (_close(asks, a, own, b, True) for a, b in shard.near(asks.x, np.log(asks.n)))
+        yield _close(own, np.repeat(hub, len(own)), own, np.arange(len(own)), False)
+        if len(asks):
+            yield _close(asks, np.repeat(np.arange(len(asks)), len(own)), own, np.tile(np.arange(len(own)), len(asks)), False)
+        return
+    least = min(own.n.min(), asks.n.min() if len(asks) else own.n.min())
+    if len(np.unique(np.concatenate([own.hub, asks.hub]))) == 1 and own.shared[0] >= 0:  # whoever shares too little with the one hub has no pair here
+        own, asks = (p[9 * p.shared >= 4 * (p.n + least)] for p in (own, asks))
+    if not len(own):
+        return
+    shard = Shard(np.arange(len(own)), own.x, np.log(own.n), SMALL_RADIUS if least < SMALL else RADIUS, 0.8, link=False)
+    if not cut:
+        yield from (_close(own, a, own, b, True) for a, b in shard.own())
+    yield from (_close(asks, a, own, b, True) for a, b in shard.near(asks.x, np.log(asks.n)))
 
 
 def _pairs(first: bool):
@@ -453,7 +466,7 @@ def _pairs(first: bool):
             if not batch.num_rows:
                 continue
             get = lambda name, batch=batch: batch.column(name).to_numpy(zero_copy_only=False)
-            now = Points([*[get(c) for c in ("key", "block", "asks", "pid", "root", "n")], np.ascontiguousarray(np.stack([get(f) for f in names(WORDS)], 1)).view(np.uint64)])
+            now = Points([*[get(c) for c in ("key", "block", "asks", "pid", "root", "n", "hub", "shared")], np.ascontiguousarray(np.stack([get(f) for f in names(WORDS)], 1)).view(np.uint64)])
             held = now if held is None else held + now
             last = np.flatnonzero((held.key[1:] != held.key[:-1]) | (held.block[1:] != held.block[:-1]))
             if len(last):
@@ -466,7 +479,7 @@ def _pairs(first: bool):
 
 
 def candidates(heads: DataFrame, points: DataFrame, first: bool) -> DataFrame:
-    """(a, b) of pids that share a key of heads(key, pid) and have near fingerprints; points(pid, root, n, f0, ...).
+    """(a, b) of pids that share a key of heads(key, pid) and have near fingerprints; points(pid, root, n, hub, shared, f0, ...).
 
     A first round takes a few pairs of each shard that are likely to unite it, a second one all pairs whose roots differ. A key that
     more than CUT points have is cut into shards of about that size: in the first round all get the least point, in the second
@@ -476,7 +489,7 @@ def candidates(heads: DataFrame, points: DataFrame, first: bool) -> DataFrame:
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(F.struct("n", "pid")).alias("least"))
     counts = counts.groupBy("key").agg(F.sum("m").alias("k"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"), F.min("least").alias("least"))
     some = common.save(counts.where("roots > 1" if not first else "k > 1").where(f"k > {CUT}" if first else "true"), "near-keys")
-    kept = ["key", "block", "asks", "pid", "root", "n", *names(WORDS)]
+    kept = ["key", "block", "asks", "pid", "root", "n", "hub", "shared", *names(WORDS)]
     if not first:  # few keys are still open
         rows = rows.join(common.bounded(some.select("key")), "key", "left_semi")
     cut = some.where(f"k > {CUT}")
@@ -493,8 +506,8 @@ def candidates(heads: DataFrame, points: DataFrame, first: bool) -> DataFrame:
     return dealt.mapInArrow(common.lean(_pairs(first)), EDGES).distinct()
 
 
-def similar(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Those of pairs(a, b) of pids whose shingle sets have a Jaccard similarity of 0.8 or more, exactly: 9 * shared >= 4 * (sum of sizes).
+def compared(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs(a, b) of pids with `both`, the shingles they share, and `close`, whether that is a Jaccard similarity of 0.8 or more: 9 * both >= 4 * (sum of sizes); the sets).
 
     Only texts that stand for a pid of a pair are read again, and pids of points(pid, node) name them by doc_id.
     """
@@ -511,8 +524,35 @@ def similar(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int) ->
     sets = texts.mapInArrow(common.lean(run), "pid long, items array<long>").join(common.bounded(asked.select("pid")), "pid", "left_semi").dropDuplicates(["pid"])
     sets = common.save(sets, "near-sets")
     left, right = (sets.select(F.col("pid").alias(x), F.col("items").alias(f"{x}s")) for x in "ab")
-    close = 9 * F.size(F.array_intersect("as", "bs")) >= 4 * (F.size("as") + F.size("bs"))
-    return common.save(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "near-links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("as", "bs")).alias("both"), (F.size("as") + F.size("bs")).alias("sum"))
+    return common.save(both.select("a", "b", "both", (9 * F.col("both") >= 4 * F.col("sum")).alias("close")), "near-compared"), sets
+
+
+def hubs(pairs: DataFrame) -> DataFrame:
+    """pid, hub and shared of compared pairs: the text with the most pairs that a text was compared with (itself included), if it has HUB or more."""
+    ends = pairs.select("a", "b", "both").union(pairs.select("b", "a", "both")).toDF("pid", "hub", "shared")
+    often = common.save(ends.groupBy("hub").agg(F.count("*").alias("m")).where(f"m >= {HUB}"), "near-hubs")
+    found = ends.union(often.select("hub", "hub", F.lit(None).cast("int"))).join(common.bounded(often), "hub")
+    return found.groupBy("pid").agg(F.max_by(F.struct("hub", "shared"), F.struct("m", "hub")).alias("x")).select("pid", "x.hub", "x.shared")
+
+
+def beyond(points: DataFrame, sets: DataFrame, salts: int = 16) -> DataFrame:
+    """(a, b) of texts of one hub and different roots that share shingles which the hub hasn't, where what they share with it isn't enough by itself.
+
+    Two texts share at most the lesser of what each shares with the hub, and shingles that the hub hasn't. So of the many texts that
+    were made from one, but changed too much to be similar to it, only those are compared that were changed alike. points(pid, root,
+    n, hub, shared) and sets(pid, items) of texts that have a hub.
+    """
+    rows = points.where("shared >= 0").select("pid", "root", "n", "hub", "shared").join(sets, "pid").withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(salts)))
+    of = points.where("shared >= 0").select(F.col("hub").alias("pid")).distinct().join(sets, "pid").select(F.col("pid").alias("hub"), F.col("items").alias("has"))
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    rows = rows.join(of, ["hub", "salt"]).select("hub", "pid", "root", "n", "shared", F.array_except("items", "has").alias("own"))
+    rows = common.save(rows.select("hub", "pid", "root", "n", "shared", F.size("own").alias("m"), F.explode("own").alias("item")), "near-own")
+    several = rows.groupBy("hub", "item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "item")
+    rows = common.save(rows.join(common.bounded(common.save(several, "near-own-shared")), ["hub", "item"], "left_semi"), "near-own-rows")
+    other = rows.select("hub", "item", *[F.col(x).alias(f"{x}_") for x in ("pid", "root", "n", "shared", "m")])
+    able = "pid < pid_ AND root <> root_ AND 5 * least(n, n_) >= 4 * greatest(n, n_) AND 9 * least(shared, shared_) < 4 * (n + n_) AND 9 * (least(shared, shared_) + least(m, m_)) >= 4 * (n + n_)"
+    return rows.join(other, ["hub", "item"]).where(able).select(F.col("pid").alias("a"), F.col("pid_").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -522,24 +562,30 @@ def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     of 256 bits, the radius is 64), so points are dealt to shards by keys that similar texts nearly surely share, and a tree has one
     shard's points. Fingerprints give candidates; a pair is taken if its sets, compared exactly, are similar, so none is taken below
     0.8, but for clashes of 64-bit hashes. Of pairs of 0.8, about 3 in a million share no key, and fewer than 1 in 10,000 lie outside
-    the radius. A first round unites most of each shard by few pairs, a second takes all pairs that it left open, so a large group of
-    near copies makes few. Texts without words are equal. Rows of one doc_id are one document; those without one are left out.
+    the radius. A first round unites most of each shard by few pairs, a second takes all pairs that it left open, but of texts compared with
+    one hub only those that can still be similar by what they share with it. So a large group of near copies makes few pairs. Texts without words are equal. Rows of one doc_id are one document; those without one are left out.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     each = common.save(described(rows, width), "near-points")
     f = names(WORDS)
-    points = each.groupBy("pid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in f])
+    points = each.groupBy("pid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in f], F.first("keys").alias("keys"), F.count("*").alias("copies"))
     points = common.save(points, "near-sets-once")
-    heads = each.select("pid", F.explode("keys").alias("key"))
-    shared = heads.groupBy("key").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).where("low < high").select("key")
-    heads = common.save(heads.join(shared, "key").distinct(), "near-keys-shared")
-    first = similar(common.save(candidates(heads, points.withColumn("root", F.col("pid")), True), "near-pairs"), points, rows, width)
+    copies = common.save(points.where("copies > 1").select("pid", "node", "copies"), "near-copies")
+    heads = points.select("pid", F.explode("keys").alias("key"))
+    shared = common.save(heads.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "near-shared")
+    heads = common.save(common.looked_up(heads, shared, ["key"], "k").where("k IS NOT NULL").select("key", "pid"), "near-heads")
+    points = points.drop("keys", "copies")
+    pairs, sets = compared(common.save(candidates(heads, points.withColumns({"root": F.col("pid"), "hub": F.lit(0).cast("long"), "shared": F.lit(-1)}), True), "near-pairs"), points, rows, width)
+    first = pairs.where("close").select("a", "b")
     roots = common.save(common.min_labels(first, "near-first"), "near-roots").select(F.col("node").alias("pid"), "root")
-    united = common.save(points.join(common.bounded(roots), "pid", "left").withColumn("root", F.coalesce("root", "pid")), "near-united")
-    second = similar(common.save(candidates(heads, united, False), "near-pairs"), points, rows, width)
+    united = points.join(common.bounded(roots), "pid", "left").withColumn("root", F.coalesce("root", "pid")).join(common.bounded(common.save(hubs(pairs), "near-hub")), "pid", "left")
+    own = F.when(F.col("hub") == F.col("pid"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1)))
+    united = common.save(united.withColumns({"shared": own, "hub": F.coalesce("hub", F.lit(0))}), "near-united")
+    open_ = candidates(heads, united, False).union(beyond(united, sets)).distinct()
+    second = compared(common.save(open_, "near-pairs"), points, rows, width)[0].where("close").select("a", "b")
     left, right = (points.select(F.col("pid").alias(x), F.col("node").alias(f"{x}_")) for x in "ab")
     links = first.union(second).join(left, "a").join(right, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-    equal = each.select("doc_id", "pid").join(common.bounded(points.select("pid", "node")), "pid").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    equal = common.looked_up(each.select("doc_id", "pid"), copies, ["pid"], "copies").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     return common.min_labels(links.union(equal), "near-labels")
 
 

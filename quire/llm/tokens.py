@@ -6,6 +6,8 @@ import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+from quire.llm import common  # noqa: E402
+
 #: Marks that end a word and are a token run of their own after a letter or digit. No apostrophe (it may join what follows), nothing of <|...|>.
 MARKS = rb""".,;:!?#$%&*+-/=@\^_`~"()[]{}"""
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -21,7 +23,7 @@ class WordTokenizer:
     words of more than `long` bytes are never kept.
     """
 
-    def __init__(self, path: str, words: int = 200_000, long: int = 48):
+    def __init__(self, path: str, words: int = 1_000_000, long: int = 48):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -79,14 +81,16 @@ class WordTokenizer:
         return ids
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, int], WordTokenizer] = {}
+common.CACHES.append(_loaded)
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, words: int = 1_000_000) -> WordTokenizer:
+    """One for each worker process, file and size of its memory (a million words take about 150 MB)."""
+    if (path, words) not in _loaded:
+        _loaded.clear()
+        _loaded[path, words] = WordTokenizer(path, words)
+    return _loaded[path, words]
 
 
 def vocabulary_path() -> str:

@@ -140,9 +140,10 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cut", [1 << 15, 7])
-def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain, cut, monkeypatch):
+@pytest.mark.parametrize(("cut", "hub"), [(1 << 15, 64), (7, 64), (1 << 15, 3)])
+def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain, cut, hub, monkeypatch):
     monkeypatch.setattr(simhash, "CUT", cut)  # keys that more points have are cut into shards
+    monkeypatch.setattr(simhash, "HUB", hub)  # texts with as many compared pairs bound those of others
     rng = np.random.default_rng(7)
     texts = [(i, t) for i, t in plain]
     at = 1 + max(i for i, _ in texts)
@@ -162,6 +163,13 @@ def test_near_duplicates_are_the_pairs_of_four_fifths(spark, docs, odd, plain, c
         for k in rng.integers(0, 120, 3):
             other[k] = f"other{i}"
         texts.append((at + i, " ".join(other)))
+    at += 90
+    for i in range(60):  # and some that are too far from it, every third like the one before
+        if i % 3 != 1:
+            other = list(base)
+            for k in rng.choice(120, 8, replace=False):
+                other[k] = f"far{i}"
+        texts.append((at + i, " ".join([*other[:-1], f"end{i}"])))
     odd_texts = [(i, t) for i, t in ODD] + [(i, t) for i, t in ODD[:3]]
 
     def sets(text):
