@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its sequence of 2048 tokens and its place there. Null and empty texts are an end id; repeated rows are packed each; other columns are not carried."""
     common.scratch(spark)
-    return packing.pack(docs, tokens.vocabulary_path())
+    return packing.pack(docs, tokens.vocabulary_path(), words=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
