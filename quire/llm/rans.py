@@ -138,13 +138,27 @@ class Coder:
         return doc_ids, lengths, ids
 
 
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """Runs of numbers, one after another, as a value each."""
+    offsets = pa.array(data.itemsize * bounds).cast(pa.int32())  # an error beyond 2 GB
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all values (no nulls) in a row."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].view(kind)
+
+
 def _tokenise(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path).encode, end_id.to_bytes(4, "little")
-        for batch in common.small_batches(batches, 1024):
-            ids = [np.frombuffer(x + end, "<u4") for x in encode(common.text_bytes(batch.column("text")))]
-            data = pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), data], ["doc_id", "ids"])
+        encoder = tokenizer(path)
+        for batch in common.large_batches(batches):
+            ids, bounds = encoder.arrays(batch.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4" if wide else "<u2")
+            data = _binary(ids, bounds + np.arange(len(bounds)))
+            yield from common.small_batches([pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), data], ["doc_id", "ids"])], 1024)
 
     return run
 
@@ -153,10 +167,8 @@ def _count(size: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                n += np.bincount(np.frombuffer(x, "<u4" if wide else "<u2"), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(n, np.frombuffer(x, "<u4" if wide else "<u2"), 1)
+            if batch.num_rows:
+                n += np.bincount(_numbers(batch.column("ids"), "<u4" if wide else "<u2"), minlength=size)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["id", "n"])
 
@@ -196,11 +208,11 @@ def _read(freq: np.ndarray):
         for batch in common.small_batches(batches, 1):
             for start, data in zip(batch.column("start").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 doc_ids, lengths, ids = coder.decode(data)
-                ends = np.cumsum(lengths)
-                whole = ids.astype("<u4", copy=False).tobytes()
-                parts = [whole[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths, strict=True)]
+                bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                ids = ids.astype("<u4", copy=False)
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - np.array(lengths), pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(start + bounds[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), _binary(ids, bounds)],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 

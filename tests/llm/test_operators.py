@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -66,6 +68,44 @@ def test_tokens_are_the_librarys(ids, plain):
     assert [np.frombuffer(x, "<u4").tolist() for x in mine] == ids(texts)
 
 
+def test_a_batch_looks_up_different_words_only():
+    class Counted(dict):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            looked.append(word)
+            return super().get(word, default)
+
+    looked = []
+    tokenizer = tokens.WordTokenizer(tokens.vocabulary_path())
+    tokenizer.known = Counted()
+    tokenizer.encode([b"One two, two!! TWO one. " * 500, b"one,"] * 2)
+    assert sorted(looked) == sorted(tokenizer.known) and set(looked) - {b""} == {b"one", b"two", b",", b"!!", b"."}
+
+
+def test_token_arrays_are_the_librarys(ids):
+    """Words, marks and what looks like a token of its own, also where one text ends and the next begins; slices and nulls."""
+    rng = random.Random(5)
+    some = [*"aZé1,.!(|' \n\t\x1c\x85\xa0\u0301\u0338\u2003İΣſ٣", "the", "'s", "%%", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "你好", "ﬁ"]
+    texts = [None if rng.random() < 0.05 else "".join(rng.choices(some, k=rng.randint(0, 9))) for _ in range(4000)]
+    wanted, column = ids([t or "" for t in texts]), pa.array(texts)
+    tokenizer = tokens.WordTokenizer(tokens.vocabulary_path(), words=300, long=6)
+    for at in range(0, len(texts), 301):
+        found, bounds = tokenizer.arrays(column.slice(at, 301))
+        assert [found[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == wanted[at : at + 301]
+        assert max(map(len, tokenizer.known)) <= 6
+    assert [len(x) for x in tokenizer.arrays(column.slice(0, 0))] == [0, 1]
+
+
+def test_large_batches():
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * n]}) for n in (10, 400, 900, 5000, 30, 40)]
+    joined = list(common.large_batches(iter(batches), 1500))
+    assert [[len(x) for x in b.column("text").to_pylist()] for b in joined] == [[10, 400, 900], [5000], [30, 40]]
+    assert list(common.large_batches(iter([]))) == []
+
+
 def packed(found, texts, ids, capacity=2048):
     pieces = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found.itertuples())
     wanted = collections.Counter()
