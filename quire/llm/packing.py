@@ -71,6 +71,8 @@ def _local(path: str, capacity: int, end_id: int, items: int, words: int):
                 for piece, at in enumerate(range(0, len(code), 4 * capacity)):
                     part = code[at : at + 4 * capacity]
                     held.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            del ids
+            common.trim()  # what a batch took would add up in a worker that other stages left large
             if len(held) >= items:
                 yield flush()
         if held:
