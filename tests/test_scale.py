@@ -44,6 +44,15 @@ def test_lines_without_image_are_spread_by_text_filter(spark):
     assert kept == {(d, n) for d in range(1000) for n in range(8) if n or d % 5 >= 3}
 
 
+def test_image_report_spreads_lines_and_counts_all(spark, small):
+    """Both sides of the report come from one reading of the lines' shuffle, and the filter's part is spread."""
+    rows = markdown.link_images(many_lines(spark))
+    found = spark.createDataFrame([("x", 1)], "path string, text_length int")
+    assert largest_share(spark, lambda: markdown.keep_readable(rows.select("doc_id", "line"), found)) < 0.3
+    total = catalog.image_filter_report(spark, small).agg(F.sum("found"), F.sum("kept"), F.sum("removed")).first()
+    assert total[0] == total[1] + total[2] > 0
+
+
 def test_strip_is_linear_and_takes_the_same_characters(spark):
     chars = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x3100)], "i int, c string")
     odd = chars.where(text.strip(F.concat("c", F.lit("x"), "c")) != F.regexp_replace(F.concat("c", F.lit("x"), "c"), r"(?U)^\s+|\s+$", ""))
