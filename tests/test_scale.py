@@ -61,3 +61,13 @@ def test_strip_is_linear_and_takes_the_same_characters(spark):
     began = time.time()
     assert long.select(F.length(text.strip(F.col("c"))).alias("n")).first().n == 200_002
     assert time.time() - began < 10
+
+
+def test_title_scores_of_many_pairs(spark):
+    """Each pair takes microseconds; as expressions over arrays, it took the better part of a millisecond."""
+    rows = spark.range(60_000, numPartitions=4).select(F.concat(F.repeat(F.lit("甲"), (1 + F.col("id") % 37).cast("int")), F.repeat(F.lit("乙"), (F.col("id") % 41).cast("int"))).alias("h"), F.repeat(F.lit("甲"), (1 + F.col("id") % 37).cast("int")).alias("t"))
+    began = time.time()
+    found = rows.agg(F.sum(similarity.title_score(F.col("h"), F.col("t"))).alias("s"), F.min(similarity.ratio(F.col("h"), F.col("t"))).alias("r")).first()
+    assert found.s > 0 and found.r > 0 and time.time() - began < 20
+    nulls = spark.createDataFrame([("a", None), (None, "a"), (None, None)], "h string, t string")
+    assert [tuple(r) for r in nulls.select(similarity.title_score(F.col("h"), F.col("t")), similarity.ratio(F.col("h"), F.col("t"))).collect()] == [(0.0, None)] * 3
