@@ -63,6 +63,19 @@ def test_strip_is_linear_and_takes_the_same_characters(spark):
     assert time.time() - began < 10
 
 
+def test_ablation_gathers_once(spark, small):
+    found = plan(rules.structure_variations(spark, small))
+    assert found.count("ArrowEvalPython") == 1 and found.count("FileScan") <= 2
+
+
+def test_walk_of_many_equal_headings_is_fast():
+    heads = [{"line_no": i, "title": f"{i} {'x' * 300}"} for i in range(3000)]
+    asked = [{"ord": i, "title": f"none {i}"} for i in range(1500)]
+    began = time.time()
+    assert all(m["line_no"] is None for m in titles.walk(asked, heads, fuzzy=False))
+    assert time.time() - began < 5
+
+
 def test_title_scores_of_many_pairs(spark):
     """Each pair takes microseconds; as expressions over arrays, it took the better part of a millisecond."""
     rows = spark.range(60_000, numPartitions=4).select(F.concat(F.repeat(F.lit("甲"), (1 + F.col("id") % 37).cast("int")), F.repeat(F.lit("乙"), (F.col("id") % 41).cast("int"))).alias("h"), F.repeat(F.lit("甲"), (1 + F.col("id") % 37).cast("int")).alias("t"))
