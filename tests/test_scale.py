@@ -44,6 +44,13 @@ def test_lines_without_image_are_spread_by_text_filter(spark):
     assert kept == {(d, n) for d in range(1000) for n in range(8) if n or d % 5 >= 3}
 
 
+def test_lines_without_image_are_spread_by_existence(spark):
+    rows = many_lines(spark)
+    there = rows.where("line <> '' AND doc_id % 2 = 0").select(F.col("line").alias("path"))
+    assert largest_share(spark, lambda: markdown.link_images(rows, there)) < 0.3
+    assert markdown.link_images(rows, there).where(text.is_image_link(F.col("line"))).count() == 500
+
+
 def test_image_report_spreads_lines_and_counts_all(spark, small):
     """Both sides of the report come from one reading of the lines' shuffle, and the filter's part is spread."""
     rows = markdown.link_images(many_lines(spark))
