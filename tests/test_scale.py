@@ -75,6 +75,12 @@ def test_ablation_gathers_once(spark, small):
     assert found.count("ArrowEvalPython") == 1 and found.count("FileScan") <= 2
 
 
+def test_structure_walks_once(spark, small):
+    """Lines, their levels and new titles: none is joined."""
+    found = plan(catalog.structure_lines(spark, small))
+    assert "Join" not in found
+
+
 def test_walk_of_many_equal_headings_is_fast():
     heads = [{"line_no": i, "title": f"{i} {'x' * 300}"} for i in range(3000)]
     asked = [{"ord": i, "title": f"none {i}"} for i in range(1500)]
