@@ -18,7 +18,9 @@ def blocks(paged: DataFrame, tolerant: bool = False) -> DataFrame:
     reading_order counts a page's blocks from 0. All windows share the partitioning by doc_id. Missing headings are null.
     """
     line = text.strip(F.col("line"))
-    kind = F.coalesce(F.nullif(F.length(F.regexp_extract(line, r"^(#{1,4}) ", 1)).cast("string"), F.lit("0")), F.when(text.is_image_link(line), "image"), F.when(line.rlike(TOLERANT if tolerant else STRICT), "table"), F.lit("text"))
+    head = F.when(line.startswith("#"), F.nullif(F.length(F.regexp_extract(line, r"^(#{1,4}) ", 1)).cast("string"), F.lit("0")))
+    table = line.rlike(TOLERANT) if tolerant else line.startswith("<html>") & line.rlike(STRICT)
+    kind = F.coalesce(head, F.when(text.is_image_link(F.col("line")), "image"), F.when(table, "table"), F.lit("text"))
     rows = paged.select("doc_id", "page_idx", "pos", line.alias("data"), kind.alias("kind"))
     order = Window.partitionBy("doc_id").orderBy("page_idx", "pos")
     at = F.struct("page_idx", "pos")
@@ -31,7 +33,7 @@ def blocks(paged: DataFrame, tolerant: bool = False) -> DataFrame:
         for u in upper:
             valid &= u
         rows = rows.withColumn(f"h{k}", F.when(valid, F.col(f"s{k}.title")))
-    rows = rows.where(~F.col("kind").rlike("^[1-4]$") & ~F.coalesce((F.col("kind") == "image") & (F.col("after") == "table"), F.lit(False)))
+    rows = rows.where(~F.col("kind").isin("1", "2", "3", "4") & ~F.coalesce((F.col("kind") == "image") & (F.col("after") == "table"), F.lit(False)))
     path = F.when((F.col("kind") == "table") & (F.col("before") == "image"), F.col("above"))
     number = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("pos")) - 1
     return rows.select("doc_id", "page_idx", number.alias("reading_order"), *HEADS, F.col("kind").alias("data_type"), "data", path.alias("table_path"))

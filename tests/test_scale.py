@@ -70,6 +70,18 @@ def test_strip_is_linear_and_takes_the_same_characters(spark):
     assert time.time() - began < 10
 
 
+def test_blocks_compile(spark, small):
+    """Methods of over 8000 bytes are never compiled by the JVM: every line would be rendered by its interpreter."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(catalog.typed_blocks(spark, small)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    sizes = [int(x.split(";")[0]) for x in code.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) < 8000
+
+
 def test_ablation_gathers_once(spark, small):
     found = plan(rules.structure_variations(spark, small))
     assert found.count("ArrowEvalPython") == 1 and found.count("FileScan") <= 2
