@@ -45,9 +45,7 @@ def contexts(members: DataFrame) -> DataFrame:
     The context has the headings, then the text or table right before and right after the run. Of more than CONTEXT entries,
     headings and the outer halves stay.
     """
-    order = Window.partitionBy("doc_id", "page_idx", "item").orderBy("pos")
-    said = lambda f, word: F.when(f("data_type").over(order).isin("text", "table"), F.concat(F.lit(f"{word} "), (f("reading_order").over(order) + 1).cast("string"), F.lit(" ("), f("data_type").over(order), F.lit("): "), f("data").over(order)))
-    rows = members.withColumns({"ahead": said(F.lag, "前文"), "behind": said(F.lead, "后文")}).where("run IS NOT NULL")
+    rows = beside(members).where("run IS NOT NULL")
     # a run ends where its last image is: only there is what follows not of the run
     found = rows.groupBy("doc_id", "page_idx", "item", "run", *HEADS).agg(
         F.min("pos").alias("first"),
@@ -55,9 +53,19 @@ def contexts(members: DataFrame) -> DataFrame:
         F.min_by("ahead", "pos").alias("ahead"),
         F.max_by("behind", "pos").alias("behind"),
     )
+    return found.select("doc_id", "page_idx", "item", "run", "first", "images", _context().alias("context"))
+
+
+def beside(members: DataFrame) -> DataFrame:
+    """members with ahead and behind: what the text or table right before and right after each says."""
+    order = Window.partitionBy("doc_id", "page_idx", "item").orderBy("pos")
+    said = lambda f, word: F.when(f("data_type").over(order).isin("text", "table"), F.concat(F.lit(f"{word} "), (f("reading_order").over(order) + 1).cast("string"), F.lit(" ("), f("data_type").over(order), F.lit("): "), f("data").over(order)))
+    return members.withColumns({"ahead": said(F.lag, "前文"), "behind": said(F.lead, "后文")})
+
+
+def _context() -> Column:
     heads = F.array_compact(F.array(*[F.concat(F.lit(f"{h.upper()}: "), F.col(h)) for h in HEADS]))
-    entries = F.array_compact(F.array("ahead", "behind"))
-    return found.select("doc_id", "page_idx", "item", "run", "first", "images", F.array_join(F.concat(heads, shortened(entries)), "\n").alias("context"))
+    return F.array_join(F.concat(heads, shortened(F.array_compact(F.array("ahead", "behind")))), "\n")
 
 
 def cache_key(prompt: Column, images: Column) -> Column:
@@ -111,7 +119,31 @@ def annotated(members: DataFrame, replies_: DataFrame) -> DataFrame:
     """Members with group_id and kind on each image of a run; the description stands on its first."""
     found = replies_.select("doc_id", "page_idx", "item", "run", "first", "kind", "description")
     rows = members.join(found, ["doc_id", "page_idx", "item", "run"], "left")
+    return _tagged(rows.withColumn("description", F.when(F.col("pos") == F.col("first"), F.col("description"))))
+
+
+def asked_in_place(members: DataFrame, client: ModelClient | None = None) -> DataFrame:
+    """annotated() of members and described(contexts(members)) in one pass over members: the request of a run stands on its first row, and the model is called from there."""
+    importable(members.sparkSession)
+    client = client or OfflineClient()
+    run = Window.partitionBy("doc_id", "page_idx", "item", "run").orderBy("pos")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begins = F.col("run").isNotNull() & (F.col("place") == 1)
+    rows = beside(members).withColumns({"place": F.row_number().over(run), "images": F.collect_list(F.when(F.col("run").isNotNull(), F.coalesce("table_path", "data"))).over(whole), "behind": F.last("behind").over(whole)})
+
+    @F.pandas_udf("string")
+    def describe(images: pd.Series, context: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None else client.describe(list(i), c) for i, c in zip(images, context, strict=True)], dtype=object)
+
+    # as it isn't called deterministic, no plan calls it twice
+    rows = rows.withColumn("reply", describe.asNondeterministic()(F.when(begins, F.col("images")), F.when(begins, _context())))
+    kind, description = replies.kind_and_text(F.col("reply"))
+    rows = rows.withColumns({"kind": F.first(F.when(begins, kind)).over(whole), "description": F.when(begins, description)})
+    return _tagged(rows)
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
     group = F.when(F.col("kind").isNotNull(), F.concat_ws("-", "doc_id", "page_idx", "item", "run"))
     ordinal = F.row_number().over(Window.partitionBy("doc_id", "page_idx", "item", F.col("run").isNotNull()).orderBy("pos"))
     tag = F.when(F.col("kind").isNotNull(), F.concat(F.col("data_type"), F.lit("<image["), ordinal.cast("string"), F.lit("]["), "kind", F.lit("]>"))).otherwise(F.col("data_type"))
-    return rows.select("doc_id", "page_idx", "item", "pos", *HEADS, "reading_order", "data", "table_path", tag.alias("data_type"), group.alias("group_id"), "kind", F.when(F.col("pos") == F.col("first"), F.col("description")).alias("description"))
+    return rows.select("doc_id", "page_idx", "item", "pos", *HEADS, "reading_order", "data", "table_path", tag.alias("data_type"), group.alias("group_id"), "kind", "description")

@@ -109,3 +109,30 @@ def test_title_scores_of_many_pairs(spark):
     assert found.s > 0 and found.r > 0 and time.time() - began < 20
     nulls = spark.createDataFrame([("a", None), (None, "a"), (None, None)], "h string, t string")
     assert [tuple(r) for r in nulls.select(similarity.title_score(F.col("h"), F.col("t")), similarity.ratio(F.col("h"), F.col("t"))).collect()] == [(0.0, None)] * 3
+
+
+def test_annotation_makes_items_once(spark, small):
+    found = plan(catalog.image_annotation(spark, small))
+    assert found.count("FileScan") == 1
+
+
+def test_annotation_in_place_is_that_by_join(spark, small):
+    items = catalog.items(spark, small)
+    members = annotate.runs(items)
+    joined = annotate.annotated(members, annotate.described(annotate.contexts(members)))
+    found = annotate.asked_in_place(members)
+    assert found.columns == joined.columns and sorted(map(repr, found.collect())) == sorted(map(repr, joined.collect()))
+
+
+def test_model_is_asked_once_a_run(spark, tmp_path):
+    class Counting(OfflineClient):
+        def describe(self, images, context):
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.write("|".join(images) + "\n")
+            return super().describe(images, context)
+
+    lines = [(1, 0, i, line) for i, line in enumerate(["# A", "![](a.jpg)", "![](b.jpg)", "t", "![](c.jpg)"])] + [(2, 0, 0, "only text")]
+    items = blocks.clusters(blocks.blocks(spark.createDataFrame(lines, "doc_id int, page_idx int, pos int, line string")))
+    found = {r.pos: (r.data_type, r.group_id, r.description) for r in annotate.asked_in_place(annotate.runs(items), Counting()).collect()}
+    assert Counter((tmp_path / "calls").read_text().split()) == {"![](a.jpg)|![](b.jpg)": 1, "![](c.jpg)": 1}
+    assert found[0][1] == found[1][1] != found[3][1] and found[0][2] and found[1][2] is None and found[2][:2] == ("text", None)
