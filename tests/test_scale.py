@@ -82,6 +82,10 @@ def test_blocks_compile(spark, small):
     assert sizes and max(sizes) < 8000
 
 
+def test_seen_blocks_reads_once(spark, small):
+    assert plan(rules.seen_blocks(spark, small)).count("FileScan") == 1
+
+
 def test_ablation_gathers_once(spark, small):
     found = plan(rules.structure_variations(spark, small))
     assert found.count("ArrowEvalPython") == 1 and found.count("FileScan") <= 2
