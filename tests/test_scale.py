@@ -115,6 +115,17 @@ def test_title_scores_of_many_pairs(spark):
     assert [tuple(r) for r in nulls.select(similarity.title_score(F.col("h"), F.col("t")), similarity.ratio(F.col("h"), F.col("t"))).collect()] == [(0.0, None)] * 3
 
 
+def test_contents_scores_by_plain_search(spark, small):
+    """Words are sought one by one, and the score is what patterns give."""
+    found = plan(catalog.toc_score(spark, small))
+    assert "chapter|section" not in found and "contents|index" not in found
+    pieces = ["1. Alpha ... 12", "2 Beta", "3-4", "Chapter", "附录 …… x", "………", "12 Gamma 9", "part", " ", "...7", "5.", "v1.2"]
+    rows = spark.range(4000).select(F.array(*[F.element_at(F.array(*map(F.lit, pieces)), (F.abs(F.xxhash64("id", F.lit(k))) % len(pieces) + 1).cast("int")) for k in range(2)]).alias("x")).select(F.trim(F.array_join("x", " ")).alias("line")).distinct()
+    signs = [(2, r"^\d+\.?\s+[A-Za-z一-鿿]"), (2, r"\.{3,}\s*\d+\s*$"), (1, r"\.{3,}|…{3,}"), (1, r"\d+[\.-]\d+"), (2, r"^\d+\s+[A-Za-z一-鿿].*\s+\d+$"), (1, "(?i)" + toc.any_of(toc.CHAPTERS))]
+    wanted = sum((w * F.col("line").rlike(p).cast("int") for w, p in signs), F.lit(0))
+    assert rows.where(toc.line_score(F.col("line")) != wanted).count() == 0 < rows.count()
+
+
 def test_annotation_makes_items_once(spark, small):
     found = plan(catalog.image_annotation(spark, small))
     assert found.count("FileScan") == 1
