@@ -82,6 +82,15 @@ def test_blocks_compile(spark, small):
     assert sizes and max(sizes) < 8000
 
 
+@pytest.mark.parametrize("name, most", [("restore_pages", 7)])
+def test_page_queries_sort_objects_not_lines(spark, small, name, most):
+    """One shuffle, and blanks are gone before a page's lines are sorted."""
+    found = plan(rules.QUERIES.get(name, catalog.QUERIES.get(name))(spark, small))
+    assert found.count("Exchange") == 1 and found.count("Sort [") <= most
+    window = found.index("Window [last(mark")
+    assert "Filter" in found[window:] and "ltrim" in found[window:]
+
+
 def test_seen_blocks_reads_once(spark, small):
     assert plan(rules.seen_blocks(spark, small)).count("FileScan") == 1
 
