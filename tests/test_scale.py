@@ -106,6 +106,13 @@ def test_structure_walks_once(spark, small):
     assert "Join" not in found
 
 
+def test_alignment_doesnt_join(spark, small):
+    assert "Join" not in plan(catalog.align_ordered(spark, small))
+    rows = spark.createDataFrame([(None, 0, "a", 1), (1, 0, "a", 1), (2, 0, "a", 1)], "doc_id int, ord int, title string, level int")
+    heads = spark.createDataFrame([(None, 5, "a"), (1, 7, "a"), (3, 9, "a")], "doc_id int, line_no int, title string")
+    assert {(r.doc_id, r.line_no) for r in titles.align(rows, heads).collect()} == {(None, None), (1, 7), (2, None)}
+
+
 def test_walk_of_many_equal_headings_is_fast():
     heads = [{"line_no": i, "title": f"{i} {'x' * 300}"} for i in range(3000)]
     asked = [{"ord": i, "title": f"none {i}"} for i in range(1500)]
