@@ -142,6 +142,10 @@ def test_contents_scores_by_plain_search(spark, small):
     assert rows.where(toc.line_score(F.col("line")) != wanted).count() == 0 < rows.count()
 
 
+def test_contents_removal_by_plain_search(spark, small):
+    assert "chapter|section" not in plan(catalog.toc_pages_removed(spark, small))
+
+
 def test_annotation_makes_items_once(spark, small):
     found = plan(catalog.image_annotation(spark, small))
     assert found.count("FileScan") == 1
