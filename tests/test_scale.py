@@ -113,6 +113,10 @@ def test_alignment_doesnt_join(spark, small):
     assert {(r.doc_id, r.line_no) for r in titles.align(rows, heads).collect()} == {(None, None), (1, 7), (2, None)}
 
 
+def test_anchors_dont_join(spark, small):
+    assert "Join" not in plan(rules.title_anchors(spark, small))
+
+
 def test_walk_of_many_equal_headings_is_fast():
     heads = [{"line_no": i, "title": f"{i} {'x' * 300}"} for i in range(3000)]
     asked = [{"ord": i, "title": f"none {i}"} for i in range(1500)]
