@@ -82,7 +82,7 @@ def test_blocks_compile(spark, small):
     assert sizes and max(sizes) < 8000
 
 
-@pytest.mark.parametrize("name, most", [("restore_pages", 7), ("cluster_order", 7)])
+@pytest.mark.parametrize("name, most", [("restore_pages", 7), ("cluster_order", 7), ("needs_model", 7)])
 def test_page_queries_sort_objects_not_lines(spark, small, name, most):
     """One shuffle, and blanks are gone before a page's lines are sorted."""
     found = plan(rules.QUERIES.get(name, catalog.QUERIES.get(name))(spark, small))
