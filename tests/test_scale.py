@@ -103,7 +103,17 @@ def test_ablation_gathers_once(spark, small):
 def test_structure_walks_once(spark, small):
     """Lines, their levels and new titles: none is joined."""
     found = plan(catalog.structure_lines(spark, small))
-    assert "Join" not in found
+    assert "Join" not in found and found.count("ArrowEvalPython") == 1
+
+
+def test_restructured_is_levels_then_insertion(spark):
+    lines = spark.createDataFrame([(d, i, x) for d in (1, 2, None) for i, x in enumerate(["# a", "t", "## b", "", "### c"])], "doc_id int, line_no int, line string")
+    found = spark.createDataFrame([(1, 0, "a", 2, 0, 0), (1, 1, "n", 3, None, 2), (1, 2, "m", 1, None, 2), (1, 3, "c", 1, 4, 0), (2, 0, "z", 9, None, 0), (3, 0, "y", 1, None, 0)], "doc_id int, ord int, title string, level int, line_no int, at int")
+    for adjust in (True, False):
+        out = titles.levelled(lines, found.where("line_no IS NOT NULL").select("doc_id", "line_no", F.col("level").alias("new_level"))) if adjust else lines
+        wanted = titles.inserted(out, found.where("line_no IS NULL").select("doc_id", "ord", "title", "level", "at"))
+        got = titles.restructured(lines, found, adjust)
+        assert got.schema.simpleString() == wanted.schema.simpleString() and sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
 
 
 def test_alignment_doesnt_join(spark, small):
